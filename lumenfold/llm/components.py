@@ -8,33 +8,71 @@ Beyond (SoCC 2014).  Edges are kept oriented (``hi`` > ``lo``).
 
 With oriented edges only the smaller neighbours decide a minimum, so both steps are one
 ``groupBy(hi).min(lo)`` (partially aggregated) and one equi-join.  Nodes with very many edges
-are joined apart: at most ``HEAVY_NODES`` of them can hold more than that share of the edges,
-so their minima are broadcast with a proven bound, and no task receives a hot node's edges.
+are joined apart (``hot_join``), so no task receives a hot node's edges.  Before each round
+chunks of bounded size are contracted within their partitions, which shortens long detours
+without a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.runtime import drop_path, stage
+from lumenfold.runtime import drop_path, hot_join, stage
 
-HEAVY_NODES = 128
+#: Edges that one pass of the local contraction holds in a worker.
+CHUNK_EDGES = 200_000
 
 
-def _with_min(edges: DataFrame, minima: DataFrame, on: str, total: int) -> DataFrame:
+def _with_min(edges: DataFrame, minima: DataFrame, on: str) -> DataFrame:
     """``edges`` left-joined with the minimum of the node in column ``on`` (as ``m``)."""
-    limit = max(1000, total // HEAVY_NODES)
-    heavy = edges.groupBy(on).count().where(F.col("count") > limit).select(F.col(on).alias("hk"))
-    heavy_keys = [r.hk for r in heavy.collect()]  # at most HEAVY_NODES rows
-    m = minima.select(F.col("hi").alias("k"), "m")
-    if not heavy_keys:
-        return edges.join(m, edges[on] == m.k, "left").drop("k")
-    hot = edges[on].isin(heavy_keys)
-    hot_m = m.where(m.k.isin(heavy_keys))
-    light = edges.where(~hot).join(m, edges[on] == m.k, "left")
-    dense = edges.where(hot).join(F.broadcast(hot_m), edges[on] == F.col("k"), "left")
-    return light.unionByName(dense).drop("k")
+    return hot_join(edges, minima.select(F.col("hi").alias(on), "m"), on, "left")
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rewrite chunks of edges into stars around their own components' minima (keeps connectivity)."""
+
+    def flush(parent: dict) -> pa.RecordBatch | None:
+        hi, lo = [], []
+        for node in parent:
+            root = node
+            while parent[root] != root:
+                root = parent[root]
+            while parent[node] != root and node != root:
+                parent[node], node = root, parent[node]
+        for node, root in parent.items():
+            if node != root:
+                while parent[root] != root:
+                    root = parent[root]
+                hi.append(node)
+                lo.append(root)
+        return pa.RecordBatch.from_arrays([pa.array(hi, kind), pa.array(lo, kind)], names=["hi", "lo"]) if hi else None
+
+    parent: dict = {}
+    seen, kind = 0, None
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for x in (a, b):
+                parent.setdefault(x, x)
+            while parent[a] != a:
+                parent[a] = parent[parent[a]]
+                a = parent[a]
+            while parent[b] != b:
+                parent[b] = parent[parent[b]]
+                b = parent[b]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        seen += batch.num_rows
+        if seen >= CHUNK_EDGES:
+            if out := flush(parent):
+                yield out
+            parent, seen = {}, 0
+    if parent and (out := flush(parent)):
+        yield out
 
 
 def _orient(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -61,16 +99,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if not sig[0]:
             break
         # large-star: (v, u) with v > u becomes (v, min(u))
-        minima = cur.groupBy("hi").agg(F.min("lo").alias("m"))
-        large = _with_min(cur, minima, "lo", sig[0]).select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
+        local = cur.mapInArrow(_contract, cur.schema).distinct()
+        first, first_path = stage(local, "cc")
+        minima = first.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = _with_min(first, minima, "lo").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
         mid, mid_path = stage(large, "cc")
         # small-star: u with smaller neighbours N becomes (n, min N) for n in N, and (u, min N)
         minima = mid.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = _with_min(mid, minima, "hi", sig[0])
+        joined = _with_min(mid, minima, "hi")
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
         nxt, nxt_path = stage(small.unionByName(minima.select("hi", F.col("m").alias("lo"))).distinct(), "cc")
-        drop_path(spark, path)
-        drop_path(spark, mid_path)
+        for p in (path, first_path, mid_path):
+            drop_path(spark, p)
         new = _signature(nxt)
         cur, path, done, sig = nxt, nxt_path, new == sig, new
         if done:
