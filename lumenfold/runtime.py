@@ -60,3 +60,27 @@ def clean_id(col: Column | str) -> Column:
 def width(spark: SparkSession) -> int:
     """Shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: At most this many keys are treated as hot; a key with more than 1/HOT_KEYS of the rows is always among them.
+HOT_KEYS = 128
+
+
+def hot_keys(df: DataFrame, key: str, least: int = 5000) -> list:
+    """The most frequent values of ``key`` with more than ``least`` rows, at most HOT_KEYS."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > least)
+    return [r[0] for r in counts.orderBy(F.col("count").desc(), key).limit(HOT_KEYS).collect()]
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least: int = 5000) -> DataFrame:
+    """Equi-join on one column of equal name, where ``small`` has at most one row a key.
+
+    Rows of hot keys are joined with a broadcast of at most HOT_KEYS rows, so they stay spread
+    over their partitions; all others go through an ordinary shuffled join.
+    """
+    keys = hot_keys(big, key, least)
+    if not keys:
+        return big.join(small, key, how)
+    hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    dense = big.where(hot).join(F.broadcast(small.where(F.col(key).isin(keys))), key, how)
+    return big.where(~hot).join(small, key, how).unionByName(dense)
