@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import groups, history, leaks
+from lumenfold.llm import clusters, groups, history, leaks, neighbours
 from lumenfold.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.image_clusters(table(spark, sf_dir, "fingerprints")).select("image_id", "cluster_key")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.survivors(table(spark, sf_dir, "duplicate_groups"), table(spark, sf_dir, "fingerprints"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf_dir, "fingerprints"), {"feature_vector": 52, "color_histogram": 48})
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = table(spark, sf_dir, "fingerprints").select(F.col("metadata.sha256").alias("sha256"), F.col("perceptual_hashes.p_hash").alias("p_hash"))
     return history.match_batches(table(spark, sf_dir, "incoming_images"), accepted)
