@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from lumenfold.plans import problems
+
 
 def queries() -> dict:
-    return {}
+    return dict(problems.queries())
 
 
 def oracle_sql() -> dict[str, str]:
