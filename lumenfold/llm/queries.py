@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import clusters, groups, history, leaks, neighbours
+from lumenfold.llm import clusters, groups, history, leaks, neighbours, packing, splitting
 from lumenfold.runtime import table
 
 
@@ -30,10 +30,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.consolidate(table(spark, sf_dir, "duplicate_groups"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "eval_items").select("item_id", "item_text").collect()  # a fixed table of 400 rows
     return leaks.find_leaks(table(spark, sf_dir, "documents"), [(r.item_id, r.item_text) for r in items])
 
 
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit()}
