@@ -93,7 +93,7 @@ def grid_average_hash(grid: Column) -> Column:
 
 def grid_difference_hash(grid: Column, width: int = 8) -> Column:
     """Bits of "right neighbour is larger", row by row."""
-    rows = F.sequence(F.lit(0), F.size(grid) / width - 1)
+    rows = F.sequence(F.lit(0), F.floor(F.size(grid) / width).cast("int") - 1)
     at = F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(F.lit(0), F.lit(width - 2)), lambda x: r.cast("int") * width + x)))
     return bits_to_long(F.transform(at, lambda i: F.element_at(grid, (i + 2).cast("int")) > F.element_at(grid, (i + 1).cast("int"))))
 

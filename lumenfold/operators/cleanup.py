@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
 from lumenfold.operators import duplicates as D
-from lumenfold.runtime import hot_join
+from lumenfold.runtime import hot_join, stage
 from lumenfold.schema import Policy
 
 
@@ -35,9 +35,11 @@ def members_to_clean(fingerprints: DataFrame, o: CleanOptions) -> DataFrame:
     e = hot_join(D.exact_members(fingerprints).select("id", "sha"), exact.select("sha", "group_id", "main_image"), "sha").where("id <> main_image")
     e = e.select("id", "group_id", F.lit("exact").alias("reason"))
     # near groups are formed over what the exact ones leave
+    e, _ = stage(e, "exact")
     rest = fingerprints.join(e.select("id"), "id", "left_anti").select(*fingerprints.columns)
-    near = D.near_group_records(rest, o.threshold, o.policy)
-    n = hot_join(D.near_groups(rest, o.threshold), near.select("leader", "group_id", "main_image"), "leader").where("id <> main_image")
+    groups, _ = stage(D.near_groups(rest, o.threshold), "near")
+    near = D.near_group_records(rest, o.threshold, o.policy, groups=groups)
+    n = hot_join(groups, near.select("leader", "group_id", "main_image"), "leader").where("id <> main_image")
     return e.unionByName(n.select("id", "group_id", F.lit("near").alias("reason")))
 
 

@@ -144,7 +144,7 @@ def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, flo
         raise ValueError("the threshold must be positive")
     w = {h: v for h, v in S.weights_or_default(weights).items() if v > 0}
     names = sorted(w)
-    reps = hash_classes(fingerprints, names)
+    reps, _ = stage(hash_classes(fingerprints, names), "classes")
     rows = reps.count()
     out = None
     masks = [r.mask for r in reps.select("mask").distinct().collect()]  # at most 16
@@ -155,14 +155,14 @@ def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, flo
             if both and (c := cover(both, w, threshold)):
                 for h, bits in c.items():
                     plans.setdefault((h, bits), []).append((a, b))
-    for (h, bits), mask_pairs in plans.items():
+    # few kinds of bits a hash: a wider search is complete for a narrower one, and saves a join
+    for (h, bits), mask_pairs in _merged(plans).items():
         blocks, equal = band_plan(bits, rows)
-        keyed = reps.where(F.col(h) != 0).withColumn("k", F.explode(F.array_distinct(band_keys(F.col(h), blocks, equal, S.HASH_NAMES.index(h)))))
+        sides = sorted({m for pair in mask_pairs for m in pair})
+        keyed = reps.where((F.col(h) != 0) & F.col("mask").isin(sides)).withColumn("k", F.explode(F.array_distinct(band_keys(F.col(h), blocks, equal, S.HASH_NAMES.index(h)))))
         a, b = keyed.alias("a"), keyed.alias("b")
-        wanted = None
-        for p, q in mask_pairs:
-            one = ((F.col("a.mask") == p) & (F.col("b.mask") == q)) | ((F.col("a.mask") == q) & (F.col("b.mask") == p))
-            wanted = one if wanted is None else wanted | one
+        table = sorted({p * 16 + q for p, q in mask_pairs} | {q * 16 + p for p, q in mask_pairs})
+        wanted = (F.col("a.mask") * 16 + F.col("b.mask")).isin(table)
         sim = S.fingerprint_similarity(lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}"), w)
         close = S.hamming(F.col(f"a.{h}"), F.col(f"b.{h}")) <= bits
         cond = (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & wanted & close & (sim >= threshold)
@@ -173,6 +173,15 @@ def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, flo
     return out.groupBy("id_a", "id_b").agg(F.first("similarity").alias("similarity"))
 
 
+def _merged(plans: dict[tuple, list]) -> dict[tuple, list]:
+    """Plans of one hash whose bits are at most one apart share the wider one."""
+    out: dict[tuple, list] = {}
+    for h, bits in sorted(plans, reverse=True):
+        at = next((k for k in out if k[0] == h and k[1] - bits <= 1), (h, bits))
+        out.setdefault(at, []).extend(plans[h, bits])
+    return out
+
+
 def hash_classes(fingerprints: DataFrame, names: list[str]) -> DataFrame:
     """One row for each set of equal hashes: ``id`` (smallest), the hashes (null as 0), ``mask`` of the set ones, ``copies``."""
     cols = [F.coalesce(F.col(f"perceptual_hashes.{n}"), F.lit(0)).alias(n) for n in names]
@@ -253,9 +262,13 @@ def group_confidence(groups: DataFrame, fingerprints: DataFrame, weights: dict[s
     return sums.select("leader", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(F.lit(0.0)).alias("confidence"))
 
 
-def near_group_records(fingerprints: DataFrame, threshold: float, policy: Policy = Policy.HIGHEST_QUALITY, weights: dict[str, float] | None = None) -> DataFrame:
-    """``group_id``, ``leader``, ``main_image``, ``n_members``, ``reason``, ``confidence``, numbered by leader."""
-    groups, _ = stage(near_groups(fingerprints, threshold, weights), "near")
+def near_group_records(fingerprints: DataFrame, threshold: float, policy: Policy = Policy.HIGHEST_QUALITY, weights: dict[str, float] | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """``group_id``, ``leader``, ``main_image``, ``n_members``, ``reason``, ``confidence``, numbered by leader.
+
+    ``groups``: the result of ``near_groups`` where it is at hand already.
+    """
+    if groups is None:
+        groups, _ = stage(near_groups(fingerprints, threshold, weights), "near")
     facts = fingerprints.select("id", "metadata", "quality")
     main = best_of_group(groups.join(facts, "id"), "leader", policy).select("leader", F.col("id").alias("main_image"))
     sizes = groups.groupBy("leader").agg(F.count("*").alias("n_members"))

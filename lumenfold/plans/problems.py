@@ -32,3 +32,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {"p2_found": p2_found, "p3_found": p3_found}
+
+
+_RAD = "pi() / 180"
+P2 = f"""
+WITH pts AS (SELECT DISTINCT id, metadata.exif.gps_lat AS la, metadata.exif.gps_lon AS lo FROM fingerprints
+  WHERE metadata.exif.has_gps AND isfinite(metadata.exif.gps_lat) AND isfinite(metadata.exif.gps_lon) AND metadata.exif.gps_lat <> 0
+    AND metadata.exif.gps_lon <> 0 AND metadata.exif.gps_lat BETWEEN -90 AND 90 AND metadata.exif.gps_lon BETWEEN -180 AND 360),
+circles AS (SELECT p.id, s.place_id FROM pts p, places s WHERE s.ring IS NULL AND
+  2 * 6371008.8::DOUBLE * asin(sqrt(least(1, sin((p.la - s.center_lat) * {_RAD} / 2) ** 2
+    + cos(p.la * {_RAD}) * cos(s.center_lat * {_RAD}) * sin((p.lo - s.center_lon) * {_RAD} / 2) ** 2))) <= s.radius_m),
+corners AS (SELECT place_id, i, ring[i] AS a, ring[i % len(ring) + 1] AS b FROM places, range(1, 100) t(i) WHERE ring IS NOT NULL AND i <= len(ring)),
+edges AS (SELECT place_id, a.lat AS la1, a.lon AS lo1, b.lat AS la2, (b.lon - a.lon + 900) % 360 - 180 AS step FROM corners),
+east AS (SELECT place_id, CASE WHEN step >= 0 THEN lo1 ELSE lo1 + step END AS west, CASE WHEN step >= 0 THEN la1 ELSE la2 END AS wla,
+  CASE WHEN step >= 0 THEN la2 ELSE la1 END AS ela, abs(step) AS span FROM edges WHERE step <> 0),
+hits AS (SELECT p.id, e.place_id FROM pts p, east e WHERE (p.lo - e.west + 1080) % 360 < e.span
+  AND e.wla + (e.ela - e.wla) * ((p.lo - e.west + 1080) % 360) / e.span > p.la)
+SELECT id AS image_id, place_id FROM circles UNION SELECT id, place_id FROM hits GROUP BY 1, 2 HAVING count(*) % 2 = 1
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p2_found": P2}
