@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.components import connected_components
@@ -142,3 +142,48 @@ def image_clusters(images: DataFrame, id_col: str = "id", vec_col: str = "featur
     members, _ = stage(members, "p1-members")
     sizes = members.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("cluster_key")).where(F.col("n") >= min_points)
     return hot_join(members, sizes.select("label", "cluster_key"), "label").select(F.col("id").alias("image_id"), "cluster_key", "vh")
+
+
+def describe(members: DataFrame, images: DataFrame, id_col: str = "id", vec_col: str = "feature_vector", dim: int = 52, typical: int = 5) -> DataFrame:
+    """``cluster_key``, ``n_images``, ``images`` (the ``typical`` ids nearest the centroid, ties by id), ``centroid``.
+
+    ``members``: image_id, cluster_key, vh.  Centroids are the mean of the members' unit vectors,
+    summed within partitions first; the medoids are cut down within every partition before they
+    are gathered, so a cluster of any size is never in one place.
+    """
+    flat = packed(images, id_col, {vec_col: dim}).select(F.col("vh"), "vec").groupBy("vh").agg(F.first("vec").alias("vec"))
+    heads = members.groupBy("cluster_key", "vh").agg(F.min("image_id").alias("image_id"), F.count_distinct("image_id").alias("n"))
+    rows, _ = stage(heads.join(flat, "vh").select("cluster_key", "image_id", "n", "vec"), "p1-describe")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = b.column(2).to_numpy().astype(float)
+            u = unit_rows(unpack_rows(b.column(3).to_pylist(), dim)) * n[:, None]
+            keys, at = np.unique(np.array(b.column(0).to_pylist(), object), return_inverse=True)
+            total, count = np.zeros((len(keys), dim)), np.bincount(at, n, len(keys))
+            np.add.at(total, at, u)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.tolist(), pa.string()), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(count.astype(np.int64))], names=["cluster_key", "total", "n"])
+
+    def mean(t: pa.Table) -> pa.Table:
+        total = np.array(t.column("total").to_pylist()).sum(0)
+        n = int(t.column("n").to_numpy().sum())
+        return pa.table({"cluster_key": t.column("cluster_key").slice(0, 1), "n_images": pa.array([n]), "centroid": pa.array([(total / n).tolist()], pa.list_(pa.float32()))})
+
+    sums = rows.mapInArrow(partial, "cluster_key string, total array<double>, n long")
+    centres, _ = stage(sums.groupBy("cluster_key").applyInArrow(mean, "cluster_key string, n_images long, centroid array<float>"), "p1-centres")
+
+    def closeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u = unit_rows(unpack_rows(b.column(2).to_pylist(), dim))
+                c = np.array(b.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round((u * c).sum(1), 9))], names=["cluster_key", "image_id", "near"])
+
+    near = hot_join(rows, centres.select("cluster_key", "centroid"), "cluster_key").select("cluster_key", "image_id", "vec", "centroid")
+    near = near.mapInArrow(closeness, "cluster_key string, image_id string, near double")
+    w = Window.partitionBy("cluster_key").orderBy(F.col("near").desc(), "image_id")
+    best = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= typical)
+    ids = best.groupBy("cluster_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "image_id"))), lambda x: x.image_id).alias("images"))
+    return centres.join(ids, "cluster_key").select("cluster_key", "n_images", "images", "centroid")

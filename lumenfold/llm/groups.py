@@ -112,3 +112,27 @@ def survivors(groups: DataFrame, fingerprints: DataFrame) -> DataFrame:
         .select("group_id", "field_name", F.col("member").alias("image_id"))
     )
     return best.join(big, "group_id", "left_semi")
+
+
+def surviving_records(groups: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """One built record a group: ``group_id``, ``main_image``, ``path``, ``size_bytes``, ``width``, ``height``, ``camera_model``, ``taken_us`` (microseconds since 1970 UTC), ``gps_lat``, ``gps_lon``.
+
+    File facts come from the main image, each other field from the member named by ``survivors``;
+    a field that no member has is null.
+    """
+    picks = survivors(groups, fingerprints)
+    m = lambda f: F.col(f"metadata.{f}")
+    facts = fingerprints.select(
+        clean_id("id").alias("image_id"), F.struct(m("path").alias("path"), m("size_bytes").alias("size_bytes"), m("width").alias("width"), m("height").alias("height"), m("exif.camera_model").alias("camera_model"), F.unix_micros(m("exif.taken_at")).alias("taken_us"), m("exif.gps_lat").alias("gps_lat"), m("exif.gps_lon").alias("gps_lon")).alias("x")
+    )
+    facts = facts.where("image_id is not null").groupBy("image_id").agg(F.first("x").alias("x"))
+    rows = picks.join(facts, "image_id")
+    of = lambda field, col: F.max(F.when(F.col("field_name") == field, F.col(col)))
+    return rows.groupBy("group_id").agg(
+        of("main_image", "image_id").alias("main_image"),
+        *[of("main_image", f"x.{c}").alias(c) for c in ("path", "size_bytes", "width", "height")],
+        of("camera_model", "x.camera_model").alias("camera_model"),
+        of("taken_at", "x.taken_us").alias("taken_us"),
+        of("gps", "x.gps_lat").alias("gps_lat"),
+        of("gps", "x.gps_lon").alias("gps_lon"),
+    )

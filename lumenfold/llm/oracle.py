@@ -64,5 +64,36 @@ SELECT a AS image_id, min(k) AS group_key FROM reach GROUP BY 1
 """
 
 
+P4_RECORDS = f"""
+WITH p AS ({P4}), f AS (SELECT lower(trim(id)) AS image_id, any_value(metadata) AS m FROM fingerprints GROUP BY 1), r AS (SELECT p.*, m FROM p JOIN f USING (image_id))
+SELECT group_id, max(image_id) FILTER (field_name = 'main_image') AS main_image, max(m.path) FILTER (field_name = 'main_image') AS path,
+  max(m.size_bytes) FILTER (field_name = 'main_image') AS size_bytes, max(m.width) FILTER (field_name = 'main_image') AS width,
+  max(m.height) FILTER (field_name = 'main_image') AS height, max(m.exif.camera_model) FILTER (field_name = 'camera_model') AS camera_model,
+  epoch_us(max(m.exif.taken_at) FILTER (field_name = 'taken_at')) AS taken_us, max(m.exif.gps_lat) FILTER (field_name = 'gps') AS gps_lat,
+  max(m.exif.gps_lon) FILTER (field_name = 'gps') AS gps_lon FROM r GROUP BY 1
+"""
+
+
+def _usable(field: str, dim: int) -> str:
+    return f"""SELECT id, any_value({field}::DOUBLE[]) AS v FROM fingerprints WHERE id IS NOT NULL AND len({field}) = {dim}
+      AND NOT list_contains([coalesce(isfinite(x), false) FOR x IN {field}], false) AND list_sum([abs(x) FOR x IN {field}]) > 0 GROUP BY 1"""
+
+
+P1 = f"""
+WITH u AS ({_usable("feature_vector", 52)}),
+near AS (SELECT a.id, list(b.id ORDER BY b.id) AS ids FROM u a JOIN u b ON list_cosine_similarity(a.v, b.v) >= 0.83::DOUBLE GROUP BY 1)
+SELECT id AS image_id, ids[1] AS cluster_key FROM near WHERE len(ids) >= 5 AND ids IN (SELECT ids FROM near GROUP BY 1 HAVING count(*) = len(ids))
+"""
+
+
+def _p5(field: str, dim: int) -> str:
+    return f"""SELECT '{field}' AS vector_field, least(a, b) AS id_a, greatest(a, b) AS id_b FROM (
+      SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 10) AS s FROM ({_usable(field, dim)}) x JOIN ({_usable(field, dim)}) y ON x.id <> y.id
+      WHERE s >= 0.985::DOUBLE QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5) GROUP BY ALL"""
+
+
+P5 = _p5("feature_vector", 52) + " UNION ALL " + _p5("color_histogram", 48)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4, "p6_found": P6, "p7_found": P7}
+    return {"p1_found": P1, "p4_found": P4, "p4_records": P4_RECORDS, "p5_found": P5, "p6_found": P6, "p7_found": P7}

@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import clusters, groups, history, leaks, neighbours, packing, splitting
-from lumenfold.runtime import table
+from lumenfold.runtime import stage, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.image_clusters(table(spark, sf_dir, "fingerprints")).select("image_id", "cluster_key")
 
 
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, most typical images and centroid of every cluster."""
+    images = table(spark, sf_dir, "fingerprints")
+    members, _ = stage(clusters.image_clusters(images), "p1")
+    return clusters.describe(members, images)
+
+
+def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.surviving_records(table(spark, sf_dir, "duplicate_groups"), table(spark, sf_dir, "fingerprints"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.survivors(table(spark, sf_dir, "duplicate_groups"), table(spark, sf_dir, "fingerprints"))
 
