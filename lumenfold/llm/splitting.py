@@ -1,15 +1,16 @@
 """Problem 10: texts above a token limit are cut at natural boundaries, with overlap.
 
 Recursive bisection: a part of more than ``limit - overlap`` tokens is cut at the strongest boundary
-near its middle (end of a cell, paragraph, line, sentence, word, pre-token) and both halves
-are treated alike; then every piece but the first is preceded by ``overlap`` tokens of what comes before.
-Cuts lie between pre-tokens, where token counts add up, so no text is encoded again.
+near its middle (end of a cell, paragraph, line, sentence, word, token) and both halves are treated
+alike; then every piece but the first is preceded by ``overlap`` tokens of what comes before.  A text is
+encoded once.  Pre-tokens hold white space at their start only, so a place where white space follows
+another character parts pre-tokens in the whole text and in every piece: between two such places
+counts add up, and only the ends of a piece are encoded again for its exact count.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,113 +23,114 @@ from lumenfold.llm.tokens import VOCABULARY, Counter, counter
 LIMIT, OVERLAP = 1024, 128
 #: Share of a part, around its middle, in which a boundary is looked for.
 NEAR_MIDDLE = 0.5
+#: Tokens by which a part may change when it stands alone; parts are kept that much smaller.
+SLACK = 4
 
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n\s*")
 _LINE = re.compile(r"\n|\\n")
 _SENTENCE = re.compile(r"[.!?][\"')\]]*\s+|[。！？]")
+#: White space of Unicode.
+_SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
 
-def _tiles(text: str, c: Counter, most_chars: int) -> tuple[np.ndarray, np.ndarray, set[int]]:
-    """Character ends and cumulated tokens of the pre-tokens; long ones are cut every ``most_chars`` characters.
+class _Text:
+    """A text with its tokens: cut places by kind, and exact counts of its parts."""
 
-    The third value holds the ends that lie inside a pre-token.
-    """
-    found, counts = c.spans(text)
-    ends, cum, inner, at, total = [0], [0], set(), 0, 0
-    for x, n in zip(found, counts):
-        if n > most_chars and len(x) > most_chars:
-            for s in range(0, len(x), most_chars):
-                part = x[s : s + most_chars]
-                total += c.count(part)
-                at += len(part)
-                ends.append(at)
-                cum.append(total)
-                inner.add(at)
-            inner.discard(at)
+    def __init__(self, text: str, cell_ends: list[int], c: Counter):
+        self.text, self.counter, self.cells = text, c, cell_ends
+        self.token_ends = c.ends(text)
+        if text.isascii():
+            code = np.frombuffer(text.encode(), np.uint8)
+            self.starts = None
         else:
-            at += len(x)
-            total += n
-            ends.append(at)
-            cum.append(total)
-    return np.array(ends), np.array(cum), inner
-
-
-def _boundaries(text: str, ends: np.ndarray, cell_ends: list[int], inner: set[int]) -> list[list[int]]:
-    """Tile numbers after which a cut may fall, strongest kind first."""
-    last = len(ends) - 1
-
-    def tiles(chars: list[int]) -> list[int]:
-        at = np.searchsorted(ends, chars, "left")
-        return sorted({int(i) for i in at if 0 < i < last})
-
-    words = [i for i in range(1, last) if text[ends[i]].isspace() or text[ends[i] - 1].isspace()]
-    return [
-        tiles(cell_ends),
-        tiles([m.end() for m in _PARAGRAPH.finditer(text)]),
-        tiles([m.end() for m in _LINE.finditer(text)]),
-        tiles([m.end() for m in _SENTENCE.finditer(text)]),
-        words,
-        [i for i in range(1, last) if int(ends[i]) not in inner],
-        list(range(1, last)),
-    ]
-
-
-def _cut(a: int, z: int, cum: np.ndarray, kinds: list[list[int]]) -> int:
-    """Tile number strictly between a and z: the strongest boundary near the middle."""
-    size = cum[z] - cum[a]
-    middle = cum[a] + size / 2
-    lo = max(a + 1, int(np.searchsorted(cum, middle - size * NEAR_MIDDLE / 2, "left")))
-    hi = min(z - 1, int(np.searchsorted(cum, middle + size * NEAR_MIDDLE / 2, "right")) - 1)
-    m = int(np.searchsorted(cum, middle, "left"))
-    for kind in kinds:
-        i, j = bisect_left(kind, lo), bisect_right(kind, hi)
-        if i < j:
-            k = bisect_left(kind, m, i, j)
-            near = [kind[x] for x in (k - 1, k) if i <= x < j]
-            return min(near, key=lambda t: abs(cum[t] - middle))
-    return min(max(m, a + 1), z - 1)
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            self.starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        low = np.zeros(256, bool)
+        low[_SPACES[_SPACES < 256]] = True
+        space = low[code] if self.starts is None else np.isin(code, _SPACES)
+        change = space[1:] != space[:-1]
+        self.words = np.flatnonzero(change) + 1
+        self.safe = np.flatnonzero(change & space[1:]) + 1
+        self.kinds: list[tuple[np.ndarray, np.ndarray] | None] = [None] * 6
+
+    def tokens(self, chars: np.ndarray) -> np.ndarray:
+        """Tokens of the whole text that end at or before each character place."""
+        return np.searchsorted(self.token_ends, chars if self.starts is None else self.starts[chars], "right")
+
+    def place(self, token: int) -> int:
+        """First character place at or after the end of so many tokens."""
+        end = int(self.token_ends[token - 1]) if token > 0 else 0
+        return end if self.starts is None else int(np.searchsorted(self.starts, end, "left"))
+
+    def kind(self, no: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the boundaries of a kind (strongest first) and the tokens before them."""
+        if self.kinds[no] is None:
+            text = self.text
+            if no == 0:
+                places = self.cells
+            elif no in (1, 2, 3):
+                places = [m.end() for m in (_PARAGRAPH, _LINE, _SENTENCE)[no - 1].finditer(text)]
+            elif no == 4:
+                places = self.words
+            else:
+                ends = self.token_ends if self.starts is None else np.searchsorted(self.starts, self.token_ends, "left")
+                places = np.unique(ends)
+            places = np.asarray(places, np.int64)
+            self.kinds[no] = places, self.tokens(places)
+        return self.kinds[no]
+
+    def cut(self, a: int, z: int, ta: int, tz: int) -> int:
+        """Place strictly between a and z: the strongest boundary near the middle."""
+        middle, reach = (ta + tz) / 2, (tz - ta) * NEAR_MIDDLE / 2
+        for no in range(6):
+            places, before = self.kind(no)
+            i, j = int(np.searchsorted(before, middle - reach, "left")), int(np.searchsorted(before, middle + reach, "right"))
+            i, j = max(i, int(np.searchsorted(places, a, "right"))), min(j, int(np.searchsorted(places, z, "left")))
+            if i < j:
+                return int(places[i + int(np.abs(before[i:j] - middle).argmin())])
+        return (a + z) // 2
+
+    def count(self, a: int, z: int) -> int:
+        """Tokens of the characters a..z as a text of their own."""
+        i, j = int(np.searchsorted(self.safe, a, "left")), int(np.searchsorted(self.safe, z, "right")) - 1
+        if i > j:
+            return self.counter.count(self.text[a:z])
+        first, last = int(self.safe[i]), int(self.safe[j])
+        inner = self.tokens(np.array([first, last]))
+        return self.counter.count(self.text[a:first]) + int(inner[1] - inner[0]) + self.counter.count(self.text[last:z])
 
 
 def split_text(text: str, cell_ends: list[int], c: Counter, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(from, core from, to, tokens) of the pieces of a text, in characters."""
-    most = limit - overlap
     if len(text) * 4 <= limit or len(text.encode("utf-8", "replace")) <= limit:
         return [(0, 0, len(text), c.count(text))]  # a token holds at least one byte
-    ends, cum, inner = _tiles(text, c, max(1, most // 16))
-    if cum[-1] <= limit and not inner:
-        return [(0, 0, len(text), int(cum[-1]))]
-    kinds = _boundaries(text, ends, cell_ends, inner)
-    cores, todo = [], [(0, len(ends) - 1)]
+    t = _Text(text, cell_ends, c)
+    if len(t.token_ends) <= limit:
+        return [(0, 0, len(text), len(t.token_ends))]
+    most = max(1, limit - overlap - SLACK)
+    cores, todo = [], [(0, len(text), 0, len(t.token_ends))]
     while todo:
-        a, z = todo.pop()
-        if cum[z] - cum[a] <= most or z - a < 2:
-            cores.append((a, z))
+        a, z, ta, tz = todo.pop()
+        if tz - ta <= most or z - a < 2:
+            cores.append((a, z, ta))
             continue
-        k = _cut(a, z, cum, kinds)
-        todo += [(k, z), (a, k)]
+        k = t.cut(a, z, ta, tz)
+        tk = int(t.tokens(np.array([k]))[0])
+        todo += [(k, z, tk, tz), (a, k, ta, tk)]
     out = []
-    for no, (a, z) in enumerate(cores):
-        start = a if not no else int(np.searchsorted(cum, cum[a] - overlap, "left"))
-        out.append((int(ends[start]), int(ends[a]), int(ends[z]), _exact(text, ends, cum, start, z, inner, c)))
+    for no, (a, z, ta) in enumerate(cores):
+        start = min(a, t.place(max(0, ta - overlap))) if no else a
+        out.append((start, a, z, t.count(start, z)))
     return out
 
 
-def _exact(text: str, ends: np.ndarray, cum: np.ndarray, a: int, z: int, inner: set[int], c: Counter) -> int:
-    """Tokens of tiles a..z as a text of their own: white space at the end is one pre-token there."""
-    k = z
-    while k > a and text[ends[k - 1] : ends[k]].isspace():
-        k -= 1
-    if inner and any(int(ends[i]) in inner for i in range(a, z + 1)):
-        return c.count(text[ends[a] : ends[z]])
-    return int(cum[k] - cum[a]) + c.count(text[ends[k] : ends[z]])
-
-
 def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``piece_no`` (from 1), ``char_from``, ``core_from``, ``char_to``, ``n_tokens``, ``piece_text``.
 
     ``char_from`` .. ``core_from`` is shared with the piece before.  Texts within the limit stay
     whole; empty texts give one empty piece, null texts and ids none.  Counts are those of the piece encoded
-    by itself.  Should joined parts of one very long pre-token encode to more than the limit, the piece is cut again.
+    by itself; should one exceed the limit (cuts inside a very long word), the text is cut again with a smaller aim.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be smaller than the limit")

@@ -7,46 +7,33 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
 VOCABULARY = os.environ.get("LUMENFOLD_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the published pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens whose counts a worker remembers.
-MEMO = 300_000
 
 
 class Counter:
-    """Counts and pre-token spans of texts under one vocabulary."""
+    """Token counts of texts, and the byte ends of their tokens, under one vocabulary."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = regex.compile(PATTERN)
-        self.memo: dict[str, int] = {}
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int32)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
 
     def count(self, text: str) -> int:
         return len(self.encoding.encode_ordinary(text)) if text else 0
 
-    def spans(self, text: str) -> tuple[list[str], list[int]]:
-        """The pre-tokens of a text (they tile it) and the number of tokens of each."""
-        found = self.pieces.findall(text)
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        counts = []
-        for x in found:
-            n = memo.get(x)
-            if n is None:
-                n = len(self.encoding.encode_ordinary(x))
-                if len(x) <= 64:
-                    memo[x] = n
-            counts.append(n)
-        return found, counts
+    def ends(self, text: str) -> np.ndarray:
+        """Where each token ends, in bytes of UTF-8."""
+        return np.cumsum(self.lengths[np.array(self.encoding.encode_ordinary(text), np.int64)], dtype=np.int64)
 
 
 @lru_cache(maxsize=2)
