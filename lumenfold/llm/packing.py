@@ -123,6 +123,8 @@ def pack(items: DataFrame, capacity: int, max_rounds: int = 400) -> DataFrame:
         fresh = max(int(by[False].big), -(-need // capacity) if need > 0 else 0)
         if True in by and placed and not placed[-1][2]:
             fresh = max(1, fresh, -(-by[False].s // capacity))
+        if True not in by:
+            fresh = max(1, fresh)
         done = [p for p in (path,) if p]
         opened = None
         if fresh:
