@@ -76,11 +76,11 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", lea
     """Equi-join on one column of equal name, where ``small`` has at most one row a key.
 
     Rows of hot keys are joined with a broadcast of at most HOT_KEYS rows, so they stay spread
-    over their partitions; all others go through an ordinary shuffled join.
+    over their partitions, and so do rows without a key; all others go through an ordinary shuffled join.
     """
     keys = hot_keys(big, key, least)
-    if not keys:
+    if not keys and how == "inner":
         return big.join(small, key, how)
-    hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
-    dense = big.where(hot).join(F.broadcast(small.where(F.col(key).isin(keys))), key, how)
-    return big.where(~hot).join(small, key, how).unionByName(dense)
+    apart = F.col(key).isNull() | F.coalesce(F.col(key).isin(keys), F.lit(False))
+    dense = big.where(apart).join(F.broadcast(small.where(F.col(key).isin(keys))), key, how)
+    return big.where(~apart).join(small, key, how).unionByName(dense)
