@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.components import connected_components
-from lumenfold.runtime import clean_id
+from lumenfold.runtime import clean_id, hot_join
 
 #: Camera texts that stand for "unknown".
 NO_CAMERA = ("Unknown JPEG Camera", "Unknown PNG Source")
@@ -87,7 +87,7 @@ def survivors(groups: DataFrame, fingerprints: DataFrame) -> DataFrame:
     every map partition down to one row a group before the shuffle, however large a group is.
     An id written twice counts once, by its first ``created_at``.
     """
-    found = group_members(groups).join(image_facts(fingerprints), "member")
+    found = hot_join(group_members(groups), image_facts(fingerprints), "member")
     fields = F.array_compact(
         F.array(
             F.lit("main_image"),
@@ -126,7 +126,7 @@ def surviving_records(groups: DataFrame, fingerprints: DataFrame) -> DataFrame:
         clean_id("id").alias("image_id"), F.struct(m("path").alias("path"), m("size_bytes").alias("size_bytes"), m("width").alias("width"), m("height").alias("height"), m("exif.camera_model").alias("camera_model"), F.unix_micros(m("exif.taken_at")).alias("taken_us"), m("exif.gps_lat").alias("gps_lat"), m("exif.gps_lon").alias("gps_lon")).alias("x")
     )
     facts = facts.where("image_id is not null").groupBy("image_id").agg(F.first("x").alias("x"))
-    rows = picks.join(facts, "image_id")
+    rows = hot_join(picks, facts, "image_id")
     of = lambda field, col: F.max(F.when(F.col("field_name") == field, F.col(col)))
     return rows.groupBy("group_id").agg(
         of("main_image", "image_id").alias("main_image"),

@@ -13,6 +13,7 @@ A hash is stored once, with the lowest batch that brought it, however often it a
 
 from __future__ import annotations
 
+import json
 import uuid
 from itertools import combinations
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.runtime import drop_path, hot_join, scratch, width
+from lumenfold.runtime import drop_path, hot_join, scratch, stage, width
 
 BLOCKS, EQUAL = 5, 2
 MAX_BITS = BLOCKS - EQUAL
@@ -56,12 +57,40 @@ RUN_SCHEMA = T.StructType([T.StructField("k", T.LongType()), T.StructField("h",
 
 
 class HashHistory:
-    """Persisted sorted runs of accepted hashes (``h`` long, ``batch`` int)."""
+    """Persisted sorted runs of accepted hashes (``h`` long, ``batch`` int) below ``path``.
+
+    The folder lists its runs, so a later session that gives the same path goes on where this one
+    ended, without reading or writing the history again.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, max_runs: int = 4):
         self.spark, self.path = spark, path or scratch(spark, "history")
         self.buckets, self.max_runs = buckets or width(spark), max_runs
         self.runs: list[str] = []
+        if text := self._manifest():
+            kept = json.loads(text)
+            self.buckets, self.runs = kept["buckets"], kept["runs"]
+            for r in self.runs:
+                if not spark.catalog.tableExists(r):
+                    spark.sql(f"CREATE TABLE {r} (k BIGINT, h BIGINT, batch INT) USING parquet LOCATION '{self.path}/{r}' CLUSTERED BY (k) SORTED BY (k, h) INTO {self.buckets} BUCKETS")
+
+    def _manifest(self, text: str | None = None) -> str | None:
+        """Read (or write) the list of runs."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/RUNS")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if text is not None:
+            out = fs.create(p, True)
+            out.writeUTF(text)
+            out.close()
+        elif fs.exists(p):
+            stream = fs.open(p)
+            text = stream.readUTF()
+            stream.close()
+        return text
+
+    def _publish(self) -> None:
+        self._manifest(json.dumps({"buckets": self.buckets, "runs": self.runs}))
 
     def _keyed(self, hashes: DataFrame) -> DataFrame:
         return hashes.select(F.explode(window_keys(F.col("h"))).alias("k"), "h", "batch")
@@ -86,6 +115,8 @@ class HashHistory:
         self.runs.append(self._write(self._keyed(hashes)))
         if len(self.runs) > self.max_runs:
             self.compact()
+        else:
+            self._publish()
 
     def compact(self) -> None:
         """Merge all runs into one, keeping the lowest batch of each hash."""
@@ -93,6 +124,7 @@ class HashHistory:
         for r in old:
             merged = self._table(r) if merged is None else merged.unionByName(self._table(r))
         self.runs = [self._write(merged.groupBy("k", "h").agg(F.min("batch").alias("batch")))]
+        self._publish()
         for r in old:
             self.spark.sql(f"DROP TABLE {r}")
             drop_path(self.spark, f"{self.path}/{r}")
@@ -140,15 +172,13 @@ def match_batches(arrivals: DataFrame, accepted: DataFrame) -> DataFrame:
     index.append(old.where("h is not null").select("h", before).groupBy("h").agg(F.min("batch").alias("batch")))
     hashes = new.where("h is not null").groupBy("h").agg(F.min("batch").alias("batch"))
     index.append(hashes)
-    near = index.first_seen(hashes.select("h"))
+    near, _ = stage(index.first_seen(hashes.select("h")), "p6-near")
 
     # contents are judged once each; their many arrivals are joined apart from the others
     new = new.withColumn("key", F.xxhash64("sha", "h", "batch"))
+    contents = new.select("key", "sha", "h", "batch").distinct()
     kinds = (
-        new.select("key", "sha", "h", "batch")
-        .distinct()
-        .join(seen, "sha", "left")
-        .join(near, "h", "left")
+        hot_join(hot_join(contents, seen, "sha", "left"), near, "h", "left")
         .withColumn("kind", F.when(F.col("sha_batch") < F.col("batch"), "exact").when(F.col("first_batch") < F.col("batch"), "near"))
         .where("kind is not null")
         .select("key", "kind")

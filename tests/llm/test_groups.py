@@ -149,7 +149,12 @@ def test_history_by_batches_and_compaction(spark):
             found += [(b, r.h, r.first_batch) for r in index.first_seen(df.select("h")).collect()]
         index.append(df)
     assert len(index.runs) <= 3 and found and all(first < b for b, _, first in found)
+    before = {(r.h, r.first_batch) for r in index.first_seen(df.select("h")).collect()}
     index.compact()
     assert len(index.runs) == 1
+    for r in index.runs:
+        spark.sql(f"DROP TABLE {r}")  # as a new session has it
+    again = H.HashHistory(spark, index.path)
+    assert again.runs == index.runs and {(r.h, r.first_batch) for r in again.first_seen(df.select("h")).collect()} == before
     with pytest.raises(ValueError):
         index.first_seen(df.select("h"), 9)
