@@ -124,10 +124,12 @@ def band_plan(bits: int, rows: int) -> tuple[int, int]:
 
 
 def band_keys(h: Column, blocks: int, equal: int, tag: int) -> Column:
-    """Array of keys: numbers of the chosen blocks and their bits, mixed to one long."""
+    """Array of keys, one for each choice of blocks: a hash of the tag, the chosen bits and their values."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long")) for i in range(blocks)]
-    return F.array(*[F.xxhash64(F.lit(tag), F.lit(no), *[parts[i] for i in c]) for no, c in enumerate(combinations(range(blocks), equal))])
+    bits = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
+    masks = [sum(c) for c in combinations(bits, equal)]
+    chosen = F.lit([m - (1 << 64) if m >= 1 << 63 else m for m in masks]).cast("array<bigint>")
+    return F.transform(chosen, lambda m: F.xxhash64(F.lit(tag), m, h.bitwiseAND(m)))
 
 
 def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, float] | None = None) -> DataFrame:
@@ -146,30 +148,35 @@ def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, flo
     names = sorted(w)
     reps, _ = stage(hash_classes(fingerprints, names), "classes")
     rows = reps.count()
-    out = None
     masks = [r.mask for r in reps.select("mask").distinct().collect()]  # at most 16
     plans: dict[tuple, list] = {}
+    covers: dict[frozenset, dict | None] = {}
     for i, a in enumerate(sorted(masks)):
         for b in sorted(masks)[i:]:
             both = frozenset(n for j, n in enumerate(names) if a & b & (1 << j))
-            if both and (c := cover(both, w, threshold)):
-                for h, bits in c.items():
+            if both not in covers:
+                covers[both] = cover(both, w, threshold) if both else None
+            if covers[both]:
+                for h, bits in covers[both].items():
                     plans.setdefault((h, bits), []).append((a, b))
-    # few kinds of bits a hash: a wider search is complete for a narrower one, and saves a join
-    for (h, bits), mask_pairs in _merged(plans).items():
-        blocks, equal = band_plan(bits, rows)
-        sides = sorted({m for pair in mask_pairs for m in pair})
-        keyed = reps.where((F.col(h) != 0) & F.col("mask").isin(sides)).withColumn("k", F.explode(F.array_distinct(band_keys(F.col(h), blocks, equal, S.HASH_NAMES.index(h)))))
-        a, b = keyed.alias("a"), keyed.alias("b")
-        table = sorted({p * 16 + q for p, q in mask_pairs} | {q * 16 + p for p, q in mask_pairs})
-        wanted = (F.col("a.mask") * 16 + F.col("b.mask")).isin(table)
-        sim = S.fingerprint_similarity(lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}"), w)
-        close = S.hamming(F.col(f"a.{h}"), F.col(f"b.{h}")) <= bits
-        cond = (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & wanted & close & (sim >= threshold)
-        got = a.join(b, cond).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), sim.alias("similarity"))
-        out = got if out is None else out.unionByName(got)
-    if out is None:
+    if not plans:
         return fingerprints.sparkSession.createDataFrame([], "id_a string, id_b string, similarity double")
+    # all plans share one join: a key carries its plan, and a table tells which sides a plan is for
+    entries, table = [], []
+    for no, ((h, bits), mask_pairs) in enumerate(_merged(plans).items()):
+        both_ways = {p * 16 + q for p, q in mask_pairs} | {q * 16 + p for p, q in mask_pairs}
+        table += [x in both_ways for x in range(256)]
+        sides = sorted({m for pair in mask_pairs for m in pair})
+        keys = F.array_distinct(band_keys(F.col(h), *band_plan(bits, rows), no))
+        plan = F.lit(no).alias("plan")
+        tagged = F.transform(keys, lambda k: F.struct(k.alias("k"), plan))  # noqa: B023 - called at once
+        entries.append(F.when((F.col(h) != 0) & F.col("mask").isin(sides), tagged).otherwise(F.array().cast("array<struct<k:bigint,plan:int>>")))
+    keyed = reps.withColumn("e", F.explode(F.concat(*entries))).select("*", "e.k", "e.plan").drop("e")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    wanted = F.element_at(F.array(*[F.lit(x) for x in table]), F.col("a.plan") * 256 + F.col("a.mask") * 16 + F.col("b.mask") + 1)
+    sim = S.fingerprint_similarity(lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}"), w)
+    cond = (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & wanted & (sim >= threshold)
+    out = a.join(b, cond).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), sim.alias("similarity"))
     return out.groupBy("id_a", "id_b").agg(F.first("similarity").alias("similarity"))
 
 
