@@ -224,6 +224,7 @@ def haar_hash(rgb: np.ndarray, in_place: bool = False) -> int:
 HASHERS = {
     "engine": {"a_hash": average_hash, "p_hash": fold_hash, "d_hash": difference_hash, "w_hash": average_hash},
     "dct": {"a_hash": average_hash, "p_hash": dct_hash, "d_hash": lambda a: difference_hash(a, 10), "w_hash": haar_hash},
+    "compat": {"a_hash": average_hash, "p_hash": dct_hash, "d_hash": lambda a: difference_hash(a, 10), "w_hash": lambda a: haar_hash(a, True)},
 }
 
 

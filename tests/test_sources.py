@@ -200,3 +200,18 @@ def test_lsh_and_progress(spark):
     t.complete()
     assert len(shown) == 2 and "100.0%" in shown[-1]
     assert progress.log_performance(progress.logger(level="odd"), "x", 10, 2.0) == 5.0
+
+
+def test_transforms(spark, folder):
+    from lumenfold.operators import transforms as T
+
+    images = FS.read_images(spark, folder)
+    out = T.transform_images(images, [("resize_to_fit", 40, 40), ("orient", 6)])
+    got = out.withColumn("i", T.transform_info(F.col("old_width"), F.col("old_height"), F.col("width"), F.col("height"))).collect()
+    a = next(r for r in got if r.path.endswith("/a.png"))
+    assert len(got) == 6 and (a.width, a.height, len(a.data)) == (30, 40, 30 * 40 * 3) and a.i.old_aspect == pytest.approx(4 / 3)
+    with pytest.raises(ValueError):
+        T.transform_images(images, [("explode",)])
+    assert set(P.hash_set(gradient(64, 64), variant="compat")) == set(S.HASH_NAMES)
+    one = spark.createDataFrame([fp_row("a", "x")], FP_SCHEMA).select(T.metadata_summary(F.col("metadata")).alias("j")).first()
+    assert '"sha256":"x"' in one.j and "exif" not in one.j
