@@ -148,7 +148,8 @@ def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, flo
     names = sorted(w)
     reps, _ = stage(hash_classes(fingerprints, names), "classes")
     rows = reps.count()
-    masks = [r.mask for r in reps.select("mask").distinct().collect()]  # at most 16
+    sizes = {r.mask: r["count"] for r in reps.groupBy("mask").count().collect()}  # at most 16
+    masks = list(sizes)
     plans: dict[tuple, list] = {}
     covers: dict[frozenset, dict | None] = {}
     for i, a in enumerate(sorted(masks)):
@@ -162,21 +163,22 @@ def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, flo
     if not plans:
         return fingerprints.sparkSession.createDataFrame([], "id_a string, id_b string, similarity double")
     # all plans share one join: a key carries its plan, and a table tells which sides a plan is for
-    entries, table = [], []
+    # the rarer mask of a pair asks and the other answers, so that common masks do not meet in plans made for rare ones
+    none = F.array().cast("array<struct<k:bigint,plan:int>>")
+    asks, answers, table = [], [], []
     for no, ((h, bits), mask_pairs) in enumerate(_merged(plans).items()):
-        both_ways = {p * 16 + q for p, q in mask_pairs} | {q * 16 + p for p, q in mask_pairs}
-        table += [x in both_ways for x in range(256)]
-        sides = sorted({m for pair in mask_pairs for m in pair})
-        keys = F.array_distinct(band_keys(F.col(h), *band_plan(bits, rows), no))
-        plan = F.lit(no).alias("plan")
+        ordered = {tuple(sorted(pair, key=lambda m: (sizes[m], m))) for pair in mask_pairs}
+        table += [(x // 16, x % 16) in ordered for x in range(256)]
+        keys, plan = F.array_distinct(band_keys(F.col(h), *band_plan(bits, rows), no)), F.lit(no).alias("plan")
         tagged = F.transform(keys, lambda k: F.struct(k.alias("k"), plan))  # noqa: B023 - called at once
-        entries.append(F.when((F.col(h) != 0) & F.col("mask").isin(sides), tagged).otherwise(F.array().cast("array<struct<k:bigint,plan:int>>")))
-    keyed = reps.withColumn("e", F.explode(F.concat(*entries))).select("*", "e.k", "e.plan").drop("e")
-    a, b = keyed.alias("a"), keyed.alias("b")
+        for side, out in ((0, asks), (1, answers)):
+            out.append(F.when((F.col(h) != 0) & F.col("mask").isin(sorted({pair[side] for pair in ordered})), tagged).otherwise(none))
+    a, b = (reps.withColumn("e", F.explode(F.concat(*e))).select("*", "e.k", "e.plan").drop("e").alias(n) for n, e in (("a", asks), ("b", answers)))
     wanted = F.element_at(F.array(*[F.lit(x) for x in table]), F.col("a.plan") * 256 + F.col("a.mask") * 16 + F.col("b.mask") + 1)
+    once = (F.col("a.mask") != F.col("b.mask")) | (F.col("a.id") < F.col("b.id"))
     sim = S.fingerprint_similarity(lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}"), w)
-    cond = (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & wanted & (sim >= threshold)
-    out = a.join(b, cond).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), sim.alias("similarity"))
+    cond = (F.col("a.k") == F.col("b.k")) & once & wanted & (sim >= threshold)
+    out = a.join(b, cond).select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"), sim.alias("similarity"))
     return out.groupBy("id_a", "id_b").agg(F.first("similarity").alias("similarity"))
 
 
