@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
-from lumenfold.runtime import drop_path, stage
+from lumenfold.operators import duplicates as D
+from lumenfold.runtime import drop_path, hot_join, stage
 
 
 def spread_minimum(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -31,15 +32,21 @@ def spread_minimum(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def dbscan(ids: DataFrame, pairs: DataFrame, min_points: int) -> DataFrame:
+def dbscan(ids: DataFrame, pairs: DataFrame, min_points: int, copies: DataFrame | None = None) -> DataFrame:
     """``id``, ``cluster``, ``core`` of density clusters over similar pairs (``id_a``, ``id_b``).
 
     A record with at least ``min_points`` records in its neighbourhood, itself included, is core; core
     records that are neighbours share a cluster, named by its smallest core id; a border record joins the
     smallest cluster among its core neighbours; noise is left out.
+
+    ``copies`` (``id``, ``copies``): how many equal records each record stands for, itself included; all of them
+    count as neighbours, so that a record with copies enough is core without any pair.
     """
     near = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(pairs.select(F.col("id_b").alias("a"), F.col("id_a").alias("b"))).distinct()
     degree = near.groupBy("a").agg((F.count("*") + 1).alias("n"))
+    if copies is not None:
+        others = near.join(copies.select(F.col("id").alias("b"), "copies"), "b").select("a", "copies")
+        degree = copies.select(F.col("id").alias("a"), "copies").unionByName(others).groupBy("a").agg(F.sum("copies").alias("n"))
     core = (degree.where(F.col("n") >= min_points).select(F.col("a").alias("id"))) if min_points > 1 else ids.select("id")
     core, _ = stage(core.distinct(), "dbscan")
     inner = near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b")
@@ -49,6 +56,24 @@ def dbscan(ids: DataFrame, pairs: DataFrame, min_points: int) -> DataFrame:
     return roots.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
 
 
+def dbscan_images(fingerprints: DataFrame, threshold: float, min_points: int, weights: dict[str, float] | None = None) -> DataFrame:
+    """``id``, ``cluster``, ``core`` of density clusters over all records, those with equal hashes included.
+
+    The clusters are formed over one representative (the smallest id) of each set of equal hashes, weighted by its copies;
+    equal records have equal neighbourhoods, so they share its row.
+    """
+    names = sorted(h for h, v in S.weights_or_default(weights).items() if v > 0)
+    classes, _ = stage(D.hash_classes(fingerprints, names).select("id", "copies"), "classes")
+    pairs, _ = stage(D.near_pairs(fingerprints, threshold, weights), "near")
+    found, _ = stage(dbscan(classes, pairs, min_points, classes).withColumnRenamed("id", "rep"), "dbscan")
+    members = D.class_members(fingerprints, weights)
+    out = hot_join(members, found, "rep").select("id", "cluster", "core")
+    if min_points > 1:
+        return out
+    alone = fingerprints.where("id is not null").select("id").join(members.select("id"), "id", "left_anti")  # without hashes: near to themselves alone
+    return out.unionByName(alone.select("id", F.col("id").alias("cluster"), F.lit(True).alias("core")))
+
+
 def k_medoids(rows: DataFrame, k: int, distance: Callable, max_rounds: int = 10, stop: float = 0.01) -> DataFrame:
     """``id``, ``cluster``, ``medoid``: nearest of ``k`` medoids, ties to the lowest number.
 

@@ -330,6 +330,19 @@ def dbscan_clusters(spark, d):
     return clustering.dbscan(fp.select("id"), pairs, 3)
 
 
+@query(
+    f"""WITH RECURSIVE {_NEAR}, e AS (SELECT id_a AS a, id_b AS b FROM np UNION ALL SELECT id_b, id_a FROM np),
+    core AS (SELECT id FROM (SELECT id, copies FROM cls UNION ALL SELECT e.a, cls.copies FROM e JOIN cls ON cls.id = e.b) GROUP BY 1 HAVING sum(copies) >= 3),
+    ce AS (SELECT a, b FROM e WHERE a IN (FROM core) AND b IN (FROM core)), reach(id, k) AS (SELECT id, id FROM core UNION SELECT ce.b, r.k FROM reach r JOIN ce ON ce.a = r.id WHERE r.k < ce.b),
+    root AS (SELECT id, min(k) AS cluster FROM reach GROUP BY 1),
+    found AS (SELECT id AS rep, cluster, true AS core FROM root UNION ALL SELECT e.a, min(root.cluster), false FROM e JOIN root ON root.id = e.b WHERE e.a NOT IN (FROM core) GROUP BY 1)
+    SELECT hs.id, cluster, core FROM hs JOIN cls USING (a_hash, p_hash, d_hash, w_hash) JOIN found ON found.rep = cls.id"""
+)
+def dbscan_image_clusters(spark, d):
+    """Every image counts and is put out; ``dbscan_clusters``, as its SQL, sees one representative of each set of equal hashes."""
+    return clustering.dbscan_images(images(spark, d), NEAR, 3)
+
+
 @query()
 def agglomerative_clusters(spark, d):
     fp = images(spark, d)

@@ -139,6 +139,28 @@ def test_dbscan(frame, records):
     assert set(groups) == set(near)
 
 
+def test_dbscan_counts_and_returns_copies(spark, frame, records):
+    flip = lambda h, n: (h ^ ((1 << n) - 1), 0, 0, 0)
+    a, b, c = 0x0123456789ABCDEF, 0x7777000011112222, 0x0F0F5A5A3C3C6699
+    rows = [(f"a{i}", (a, 0, 0, 0)) for i in range(4)] + [("b0", (b, 0, 0, 0)), ("b1", (b, 0, 0, 0)), ("b2", flip(b, 2)), ("c0", (c, 0, 0, 0)), ("c1", (c, 0, 0, 0)), ("n0", (0, 0, 0, 0))]
+    df = spark.createDataFrame([fp_row(i, hashes=h) for i, h in rows], FP_SCHEMA)
+    got = {r.id: (r.cluster, r.core) for r in K.dbscan_images(df, 0.9, 3).collect()}
+    assert got == {**{f"a{i}": ("a0", True) for i in range(4)}, **{i: ("b0", True) for i in ("b0", "b1", "b2")}}
+    # against the definition over all records
+    near = {i: {j for j in records if i == j or similarity(records[i], records[j]) >= 0.9} for i in records}
+    core = {i for i in near if len(near[i]) >= 3}
+    label = {}
+    for i in sorted(core):
+        todo = [] if i in label else [i]
+        while todo:
+            x = todo.pop()
+            if x not in label:
+                label[x] = i
+                todo += near[x] & core
+    want = {i: (x, True) for i, x in label.items()} | {i: (min(label[j] for j in near[i] & core), False) for i in near if i not in core and near[i] & core}
+    assert {r.id: (r.cluster, r.core) for r in K.dbscan_images(frame, 0.9, 3).collect()} == want
+
+
 def test_k_medoids(spark):
     pts = [(f"p{i:02d}", [float(i % 2 * 10 + i / 100)]) for i in range(20)]
     df = spark.createDataFrame(pts, "id string, v array<double>")
