@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,30 +209,51 @@ def class_members(fingerprints: DataFrame, weights: dict[str, float] | None = No
     return hot_join(fingerprints.where("id is not null").select("id", key.alias("hk")), reps, "hk").select("id", "rep")
 
 
-def leaders(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id``, ``leads`` of the records that a range of open edges (``hi``, ``lo``, ``leads`` of ``lo``) decides, in the order of ``hi``."""
+    done: dict = {}
+    hi, led, free = None, False, False
+    for b in batches:
+        for h, lo, leads in zip(*(c.to_pylist() for c in b.columns)):
+            if h != hi:
+                if led or free:
+                    done[hi] = not led
+                hi, led, free = h, False, True
+            known = done.get(lo) if leads is None else leads
+            led, free = led or known is True, free and known is False
+        # the last record may go on in the next batch
+    if led or free:
+        done[hi] = not led
+    ids = list(done)
+    for s in range(0, len(ids), 10000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 10000]), pa.array([done[i] for i in ids[s : s + 10000]], pa.bool_())], names=["id", "leads"])
+
+
+def leaders(pairs: DataFrame, range_edges: int = 200_000) -> DataFrame:
     """``id``, ``leader`` of greedy grouping in id order, from the pairs (``id_a`` < ``id_b``) of similar records.
 
     A record all of whose earlier neighbours are members leads; one with an earlier leader is a
     member of the smallest of them.  Rounds repeat until none is undecided (lexicographically
-    first maximal independent set); each round decides at least the smallest undecided record.
+    first maximal independent set).  A round cuts the undecided records into ranges of about ``range_edges`` edges and
+    goes through each in id order, so it decides at least the whole first range, however long a chain is.
     Records without a pair are not listed: they lead themselves.
     """
     spark = pairs.sparkSession
     edges, edge_path = stage(pairs.select(F.col("id_a").alias("lo"), F.col("id_b").alias("hi")).distinct(), "leaders")
     first = edges.select(F.col("lo").alias("id")).distinct().join(edges.select(F.col("hi").alias("id")).distinct(), "id", "left_anti")
     decided, path = stage(first.select("id", F.lit(True).alias("leads")), "leaders")
-    before = -1
-    for _ in range(max_rounds):
-        now = decided.count()
-        if now == before:
+    kind = f"id {edges.schema['hi'].dataType.simpleString()}, leads boolean"
+    while True:
+        open_edges, open_path = stage(edges.join(decided.select(F.col("id").alias("hi")), "hi", "left_anti"), "leaders")
+        n = open_edges.count()
+        if not n:
+            drop_path(spark, open_path)
             break
-        before = now
-        known = decided.select(F.col("id").alias("lo"), "leads")
-        open_edges = edges.join(decided.select(F.col("id").alias("hi")), "hi", "left_anti")
-        state = hot_join(open_edges, known, "lo", "left").groupBy("hi").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_and(F.coalesce(~F.col("leads"), F.lit(False))).alias("free"))
-        news = state.where("led or free").select(F.col("hi").alias("id"), (~F.col("led")).alias("leads"))
+        state = hot_join(open_edges, decided.select(F.col("id").alias("lo"), "leads"), "lo", "left").select("hi", "lo", "leads")
+        news = state.repartitionByRange(-(-n // range_edges), "hi").sortWithinPartitions("hi").mapInArrow(_decide, kind)
         nxt, nxt_path = stage(decided.unionByName(news), "leaders")
-        drop_path(spark, path)
+        for p in (path, open_path):
+            drop_path(spark, p)
         decided, path = nxt, nxt_path
     heads = decided.where("leads").select("id", F.col("id").alias("leader"))
     led = edges.join(heads.select(F.col("id").alias("lo")), "lo").join(decided.where("not leads").select(F.col("id").alias("hi")), "hi")

@@ -91,6 +91,14 @@ def test_leader_groups_match_the_sequential_loop(frame, records):
         assert last[x].confidence == pytest.approx(similarity(records[x], records[m]))
 
 
+@pytest.mark.parametrize("range_edges", [200_000, 60])
+def test_leaders_of_a_long_chain(spark, range_edges):
+    ids = [f"{i:05d}" for i in range(451)]
+    pairs = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])], "id_a string, id_b string")
+    want = {a: ids[i - i % 2] for i, a in enumerate(ids)}
+    assert {r.id: r.leader for r in D.leaders(pairs, range_edges=range_edges).collect()} == want
+
+
 def test_exact_groups_and_policies(frame):
     members = {}
     rows = {r.id: r for r in frame.collect()}
