@@ -19,32 +19,49 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12
 _FORMS = {3: "H", 4: "I", 8: "h", 9: "i", 11: "f", 12: "d"}
 
 
-def _tiff_block(data: bytes) -> bytes | None:
+def _tiff_span(data: bytes) -> tuple[int, int]:
+    """Where the TIFF directories stand; an end beyond ``data`` where more content is needed to tell, (0, 0) for none."""
+    more = (len(data), len(data) + 1)
     if data[:4] in (b"II*\0", b"MM\0*"):
-        return data
+        return 0, len(data) + 1  # directories stand anywhere in the file
     if data[:2] == b"\xff\xd8":
         at = 2
-        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        while at + 4 <= len(data):
+            if data[at] != 0xFF or data[at + 1] == 0xDA:
+                return 0, 0
             n = int.from_bytes(data[at + 2 : at + 4], "big")
             if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-                return data[at + 10 : at + 2 + n]
+                return at + 10, at + 2 + n
             at += 2 + n
+        return more
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         at = 8
         while at + 8 <= len(data):
-            n = int.from_bytes(data[at : at + 4], "big")
-            if data[at + 4 : at + 8] == b"eXIf":
-                return data[at + 8 : at + 8 + n]
+            n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+            if kind in (b"eXIf", b"IEND"):
+                return (at + 8, at + 8 + n) if kind == b"eXIf" else (0, 0)
             at += 12 + n
+        return more
     if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
-        at = 12
+        at, end = 12, 8 + int.from_bytes(data[4:8], "little")
         while at + 8 <= len(data):
             n = int.from_bytes(data[at + 4 : at + 8], "little")
             if data[at : at + 4] == b"EXIF":
-                block = data[at + 8 : at + 8 + n]
-                return block[6:] if block[:6] == b"Exif\0\0" else block
+                return at + 8, at + 8 + n
             at += 8 + n + n % 2
-    return None
+        return more if at < end else (0, 0)
+    return 0, 0
+
+
+def _tiff_block(data: bytes) -> bytes | None:
+    start, end = _tiff_span(data)
+    block = data[start:end]
+    return (block[6:] if block[:6] == b"Exif\0\0" else block) or None
+
+
+def reaches_beyond(head: bytes) -> bool:
+    """Whether the head of a longer file does not hold all that ``parse_exif`` needs."""
+    return _tiff_span(head)[1] > len(head)
 
 
 def _directory(b: bytes, at: int, end: str) -> dict[int, list]:
@@ -112,7 +129,11 @@ def parse_exif(data: bytes) -> dict | None:
 
 
 def with_exif(files: DataFrame, head_bytes: int = 1 << 18) -> DataFrame:
-    """Adds ``exif``, read from the head of ``content``; null where there is none."""
+    """Adds ``exif``, read from the head of ``content``, or from all of it where the head points beyond; null where there is none."""
+
+    @F.pandas_udf("boolean")
+    def beyond(head: pd.Series) -> pd.Series:
+        return pd.Series([b is not None and reaches_beyond(bytes(b)) for b in head], dtype=bool)
 
     @F.pandas_udf(EXIF)
     def read(head: pd.Series) -> pd.DataFrame:
@@ -122,7 +143,9 @@ def with_exif(files: DataFrame, head_bytes: int = 1 << 18) -> DataFrame:
         out["iso"], out["taken_at"], out["has_gps"] = out["iso"].astype("Int32"), pd.to_datetime(out["taken_at"]), out["has_gps"].astype("boolean")
         return out.astype({c: "Float64" for c in ("aperture", "focal_length", "gps_lat", "gps_lon")})
 
-    found = files.withColumn("_exif", read(F.substring("content", 1, head_bytes)))
+    head = F.substring("content", 1, head_bytes)
+    whole = beyond(F.when(F.length("content") > head_bytes, head))
+    found = files.withColumn("_exif", read(F.when(whole, F.col("content")).otherwise(head)))
     return found.withColumn("exif", F.when(F.col("_exif.has_gps").isNotNull(), F.col("_exif"))).drop("_exif")
 
 

@@ -99,7 +99,10 @@ def header_size(data: bytes) -> tuple[str, int, int] | None:
 
 
 def with_header_size(files: DataFrame, head_bytes: int = 1 << 18) -> DataFrame:
-    """Adds nullable ``decoded_format``, ``width``, ``height``, read from the head of ``content`` without pixels."""
+    """Adds nullable ``decoded_format``, ``width``, ``height``, read from the head of ``content`` without pixels.
+
+    Where the segments of a jpeg file go on beyond the head, all of its content is read.
+    """
 
     @F.pandas_udf("decoded_format string, width int, height int")
     def read(head):
@@ -108,7 +111,15 @@ def with_header_size(files: DataFrame, head_bytes: int = 1 << 18) -> DataFrame:
         got = [header_size(bytes(b)) if b is not None else None for b in head]
         return pd.DataFrame([g or (None, None, None) for g in got], columns=["decoded_format", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
 
-    return files.withColumn("_head", read(F.substring("content", 1, head_bytes))).select("*", "_head.*").drop("_head")
+    @F.pandas_udf("boolean")
+    def beyond(head):
+        import pandas as pd
+
+        return pd.Series([b is not None and bytes(b[:2]) == b"\xff\xd8" and header_size(bytes(b)) is None for b in head], dtype=bool)
+
+    head = F.substring("content", 1, head_bytes)
+    whole = beyond(F.when(F.length("content") > head_bytes, head))
+    return files.withColumn("_head", read(F.when(whole, F.col("content")).otherwise(head))).select("*", "_head.*").drop("_head")
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:

@@ -127,6 +127,29 @@ def test_exif():
     assert X.parse_exif(b"") is None and X.parse_exif(b"II*\0\xff\xff\xff\xff") is None and X.parse_exif(data[:50]) is None
 
 
+def test_data_behind_the_head(spark):
+    tiff = lambda gap: b"II*\0" + struct.pack("<I", 8 + gap) + bytes(gap) + struct.pack("<HHHII", 1, X.MODEL, 2, 4, int.from_bytes(b"Cam\0", "little")) + bytes(4)
+    chunk = lambda kind, d: struct.pack(">I", len(d)) + kind + d + bytes(4)
+    part = lambda kind, d: kind + struct.pack("<I", len(d)) + d
+    segment = lambda marker, d: b"\xff" + marker + struct.pack(">H", len(d) + 2) + d
+    sof, sos = segment(b"\xc0", struct.pack(">BHHB", 8, 30, 40, 3) + bytes(9)), b"\xff\xda" + bytes(300_000)
+    body = part(b"VP8X", bytes(4) + b"\x27\0\0\x1d\0\0") + part(b"VP8 ", bytes(300_000)) + part(b"EXIF", b"Exif\0\0" + tiff(0))
+    apps = segment(b"\xe2", bytes(60_000)) * 5
+    files = {
+        "webp": b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body,
+        "png": b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", bytes(300_000)) + chunk(b"eXIf", tiff(0)) + chunk(b"IEND", b""),
+        "tiff": tiff(300_000),
+        "jpeg": b"\xff\xd8" + apps + segment(b"\xe1", b"Exif\0\0" + tiff(0)) + sof + sos,
+        "plain": b"\xff\xd8" + sof + sos,
+    }
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()] + [("none", None)], "path string, content binary")
+    got = {r.path: r.exif and r.exif.camera_model for r in X.with_exif(df).collect()}
+    assert got == {k: "Cam" for k in ("webp", "png", "tiff", "jpeg")} | {"plain": None, "none": None}
+    assert not X.reaches_beyond(files["plain"][: 1 << 18])
+    sizes = {r.path: (r.decoded_format, r.width, r.height) for r in FS.with_header_size(df.where("path in ('jpeg', 'plain', 'none')")).collect()}
+    assert sizes == {"jpeg": ("jpeg", 40, 30), "plain": ("jpeg", 40, 30), "none": (None, None, None)}
+
+
 def test_kernels():
     flat, g = np.full((32, 32, 3), 128, np.uint8), gradient(64, 48)
     assert P.average_hash(flat) == 0 and P.difference_hash(flat) == 0 and P.sharpness(flat) == 0.0 and P.contrast(flat) == 0.0
