@@ -131,8 +131,7 @@ def image_clusters(images: DataFrame, id_col: str = "id", vec_col: str = "featur
     with a pair below the similarity in one of their local parts are no cluster of mutually
     similar images and give no row.
     """
-    rows = images.count()
-    piv = pivots(images, id_col, vec_col, dim, rows, OVERLAP)
+    piv = pivots(images, id_col, vec_col, dim)
     if not len(piv):
         return images.sparkSession.createDataFrame([], "image_id string, cluster_key string, vh long")
     flat, _ = stage(packed(images, id_col, {vec_col: dim}).select("id", "vh", "vec"), "p1-vectors")

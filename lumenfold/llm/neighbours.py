@@ -120,8 +120,7 @@ def similar_pairs(images: DataFrame, fields: dict[str, int], id_col: str = "id",
     an id written twice counts once; empty tables give an empty result.
     """
     names = list(fields)
-    rows = images.count()
-    piv = {no: pivots(images, id_col, f, fields[f], rows, overlap) for no, f in enumerate(names)}
+    piv = {no: pivots(images, id_col, f, fields[f]) for no, f in enumerate(names)}
     piv = {no: p for no, p in piv.items() if len(p)}
     spark = images.sparkSession
     if not piv:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most pivots ever drawn, and rows aimed at in a cell (before overlap).
@@ -77,20 +77,32 @@ def packed(df: DataFrame, id_col: str, fields: dict[str, int]) -> DataFrame:
     return src.mapInArrow(run, "field int, id string, vec binary").withColumn("vh", F.xxhash64("field", "vec"))
 
 
-def pivots(df: DataFrame, id_col: str, vec_col: str, dim: int, rows: int, overlap: int, seed: int = 7) -> np.ndarray:
-    """Unit pivots: distinct usable vectors with the smallest id hashes, about one for CELL_ROWS rows.
+def usable(vec_col: str, dim: int) -> Column:
+    """Condition of ``usable_matrix`` as a column."""
+    v = F.col(vec_col)
+    finite = F.forall(v, lambda x: F.abs(x.cast("double")) < float("inf"))
+    return F.coalesce((F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def pivots(df: DataFrame, id_col: str, vec_col: str, dim: int, seed: int = 7) -> np.ndarray:
+    """Unit pivots: distinct usable vectors with the smallest id hashes, about one for CELL_ROWS usable vectors.
 
     The draw is a bounded sample (at most 2 * MAX_PIVOTS vectors reach the driver); every vector
-    is assigned afterwards.
+    is assigned afterwards.  There is a pivot wherever there is a usable vector.
     """
-    want = int(min(MAX_PIVOTS, max(1, round(rows * overlap / (CELL_ROWS * overlap)))))
     h = F.xxhash64(F.lit(seed), F.col(id_col))
-    share = min(1.0, 4 * want / max(rows, 1))  # thins the rows before they are ordered
-    near = df.where(F.col(id_col).isNotNull() & (F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)).select(h.alias("h"), F.col(vec_col).alias("v"))
-    got = near.where(F.size("v") == dim).orderBy("h").limit(2 * want).select("v").toArrow()
-    _, m = usable_matrix(got.column(0), dim) if got.num_rows else (None, np.empty((0, dim)))
-    if not len(m):
+    good = df.where(F.col(id_col).isNotNull() & usable(vec_col, dim)).select(h.alias("h"), F.col(vec_col).alias("v"))
+    rows = good.count()
+    if not rows:
         return np.zeros((0, dim))
+    want = int(min(MAX_PIVOTS, max(1, round(rows / CELL_ROWS))))
+    share = min(1.0, 4 * want / rows)  # thins the rows before they are ordered
+    near = good.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    for drawn in (near, good):
+        got = drawn.orderBy("h").limit(2 * want).select("v").toArrow()
+        if got.num_rows:
+            break
+    _, m = usable_matrix(got.column(0), dim)
     u = unit_rows(m)
     _, first = np.unique(np.round(u, 9), axis=0, return_index=True)
     return u[np.sort(first)][:want].astype(np.float32)

@@ -109,3 +109,13 @@ def test_empty(data, spark):
     for none in (df.limit(0), df.where("id = 'b1'")):
         assert N.similar_pairs(none, {"vec": 52}).count() == 0
         assert C.image_clusters(none, vec_col="vec").count() == 0
+
+
+def test_sparse_fields_keep_their_vectors(spark):
+    rng = np.random.default_rng(11)
+    near = unit(rng, 1, 8)[0] + rng.standard_normal((6, 8)) * 0.001
+    rows = [(f"r{i:04d}", near[i // 500].tolist() if i % 500 == 0 else [None, [0.0] * 8, [float("nan")] * 8, [1.0] * 7, [1.0, None] * 4][i % 5]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, vec array<double>")
+    assert len(V.pivots(df, "id", "vec", 8)) == 1 and len(V.pivots(df.where("id like '%1'"), "id", "vec", 8)) == 0
+    assert N.similar_pairs(df, {"vec": 8}).count() > 0
+    assert {r.image_id for r in C.image_clusters(df, vec_col="vec", dim=8).collect()} == {f"r{i:04d}" for i in range(0, 3000, 500)}
