@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold.config import EngineConfig
 from lumenfold.operators import cleanup, reports
 from lumenfold.operators import duplicates as D
+from lumenfold.runtime import hot_join, stage
 from lumenfold.schema import NotFound, Policy
 from lumenfold.sources.files import fingerprint_folder, scan_folder
 from lumenfold.sources.store import FingerprintStore
@@ -63,6 +64,19 @@ class Engine:
         fp = self.store.all()
         return reports.build(fp, self.exact_duplicates(), self.near_duplicates(threshold), scan_id=scan_id)
 
+    def export(self, path: str, kind: str = "json", threshold: float = 0.9, scan_id: str = "scan") -> str:
+        """Write a report; the JSON form holds all groups with all their ids, the others list the first groups."""
+        if kind != "json":
+            return reports.write(self.report(threshold, scan_id), path, kind)
+        fp = self.store.all()
+        groups, _ = stage(D.near_groups(fp, threshold, self.config.weights), "near")
+        near, _ = stage(D.near_group_records(fp, threshold, weights=self.config.weights, groups=groups), "near")
+        exact, _ = stage(self.exact_duplicates(), "exact")
+        cols = ["group_id", "main_image", "reason", "confidence", "n_members", "id"]
+        same = hot_join(D.exact_members(fp).select("sha", "id"), exact, "sha").select(cols)
+        alike = hot_join(groups.select("leader", "id"), near, "leader").select(cols)
+        return reports.write_json(reports.build(fp, exact, near, scan_id=scan_id), same.unionByName(alike), path)
+
     def close(self) -> None:
         self.store.close()
 

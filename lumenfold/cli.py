@@ -82,7 +82,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.command == "stats":
             print(json.dumps(engine.stats().first().asDict()))
         else:
-            print(reports.write(engine.report(a.threshold), a.output, a.format))
+            print(engine.export(a.output, a.format, a.threshold))
     finally:
         engine.close()
     return 0

@@ -80,10 +80,11 @@ def build(fingerprints: DataFrame, exact: DataFrame, near: DataFrame, members: D
         dist[r.dimension][r.bucket] = r.n
     groups = []
     for df in (exact, near):
-        listed = df.orderBy("group_id").limit(shown)
+        number = F.length("group_id"), F.col("group_id")  # exact_2 before exact_10
+        listed = df.orderBy(*number).limit(shown)
         if members is not None:
             listed = listed.join(heads(members.join(listed.select("group_id"), "group_id", "left_semi"), "group_id"), "group_id", "left")
-        for r in listed.orderBy("group_id").collect():
+        for r in listed.orderBy(*number).collect():
             d = r.asDict()
             groups.append({k: d.get(k) for k in ("group_id", "main_image", "n_members", "reason", "confidence", "shown", "more") if d.get(k) is not None})
     files = totals["processed_images"] if total_files is None else total_files
@@ -106,6 +107,32 @@ def to_json(report: dict) -> str:
     return json.dumps(report, indent=2, default=str)
 
 
+def write_json(report: dict, members: DataFrame, path: str) -> str:
+    """Write the JSON form with all groups and all their duplicate ids.
+
+    ``members``: group_id, main_image, reason, confidence, n_members, id, one row a member.  They are sorted by Spark and
+    written as they come, a partition at a time, so neither a group nor the list of groups is held as a whole.
+    """
+    p = Path(path if Path(path).suffix else path + ".json")
+    p.parent.mkdir(parents=True, exist_ok=True)
+    rest = to_json({k: v for k, v in report.items() if k != "duplicate_groups"})
+    rows = members.select("group_id", "main_image", "reason", "confidence", "n_members", "id").orderBy("reason", F.length("group_id"), "group_id", "id")
+    with p.open("w") as out:
+        out.write(rest[: rest.rindex("}")].rstrip() + ',\n  "duplicate_groups": [')
+        at, first = None, True
+        for r in rows.toLocalIterator():
+            if r.group_id != at:
+                out.write(("" if at is None else "]},") + "\n    ")
+                head = json.dumps({k: r[k] for k in ("group_id", "main_image", "reason", "confidence", "n_members")}, default=str)
+                out.write(head[:-1] + ', "duplicate_ids": [')
+                at, first = r.group_id, True
+            if r.id != r.main_image:
+                out.write(("" if first else ", ") + json.dumps(r.id))
+                first = False
+        out.write(("" if at is None else "]}\n  ") + "]\n}\n")
+    return str(p)
+
+
 def _group_line(g: dict) -> list[str]:
     out = [f"  {g['group_id']} ({g['n_members']} images, confidence {100 * g['confidence']:.1f}%)", f"    keep: {g['main_image']}"]
     out += [f"    - {x}" for x in g.get("shown", [])]

@@ -1,3 +1,4 @@
+import json
 import math
 import struct
 from datetime import datetime
@@ -238,3 +239,13 @@ def test_transforms(spark, folder):
     assert set(P.hash_set(gradient(64, 64), variant="compat")) == set(S.HASH_NAMES)
     one = spark.createDataFrame([fp_row("a", "x")], FP_SCHEMA).select(T.metadata_summary(F.col("metadata")).alias("j")).first()
     assert '"sha256":"x"' in one.j and "exif" not in one.j
+
+
+def test_json_export_holds_all_groups(spark, tmp_path):
+    rows = [fp_row(f"i{g:03d}_{k}", f"{g:064x}", (0, 0, 0, 0) if g else (5 << 40, 0, 0, 0)) for g in range(60) for k in range(3)]
+    e = api.Engine(spark, C.EngineConfig(index_path=f"file://{tmp_path}/index"))
+    e.store.save(spark.createDataFrame(rows, FP_SCHEMA))
+    got = json.loads(open(e.export(str(tmp_path / "all"))).read())
+    want = {f"exact_{g + 1}": [f"i{g:03d}_1", f"i{g:03d}_2"] for g in range(60)} | {"near_1": ["i000_1", "i000_2"]}
+    assert {g["group_id"]: g["duplicate_ids"] for g in got["duplicate_groups"]} == want
+    assert [g["group_id"] for g in got["duplicate_groups"]] == list(want) and got["exact_duplicate_count"] == 60
