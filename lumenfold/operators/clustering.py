@@ -113,10 +113,14 @@ def k_medoids(rows: DataFrame, k: int, distance: Callable, max_rounds: int = 10,
     return assign().select("id", "cluster", "medoid")
 
 
-def average_linkage(sim: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster number of each row: the closest pair of clusters by mean similarity is merged while it reaches the threshold."""
+def average_linkage(sim: np.ndarray, threshold: float, copies: np.ndarray | None = None) -> np.ndarray:
+    """Cluster number of each row: the closest pair of clusters by mean similarity is merged while it reaches the threshold.
+
+    ``copies``: how many equal records each row stands for.
+    """
     n = len(sim)
-    label, size, s = np.arange(n), np.ones(n), sim.astype(float).copy()
+    label, s = np.arange(n), sim.astype(float).copy()
+    size = np.ones(n) if copies is None else copies.astype(float)
     np.fill_diagonal(s, -1)
     while n > 1:
         at = int(s.argmax())
@@ -133,17 +137,55 @@ def average_linkage(sim: np.ndarray, threshold: float) -> np.ndarray:
     return label
 
 
-def agglomerative(fingerprints: DataFrame, pairs: DataFrame, threshold: float, weights: dict[str, float] | None = None, most: int = 5000) -> DataFrame:
+def _linkage_rounds(rows: DataFrame, pairs: DataFrame, threshold: float, w: dict[str, float]) -> DataFrame:
+    """``id``, ``cluster`` by average linkage over ``rows`` (``id``, ``copies``, hashes) and their similar pairs (``id_a``, ``id_b``).
+
+    Every round merges all clusters that are each other's nearest, which gives the clusters of one merge at a time, as a
+    merged cluster is never nearer to a third than the nearer of its parts.  Only clusters with a similar pair between them are compared;
+    their sums of similarities stay until one of them merges.  No task holds a cluster.
+    """
+    spark = rows.sparkSession
+    links, _ = stage(pairs.select("id_a", "id_b"), "linkage")
+    members, path = stage(rows.withColumn("cluster", F.col("id")), "linkage")
+    sums, sums_path = spark.createDataFrame([], f"lo {rows.schema['id'].dataType.simpleString()}, hi {rows.schema['id'].dataType.simpleString()}, s double, n double"), None
+    sim = S.fingerprint_similarity(lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}"), w)
+    weight = (F.col("a.copies") * F.col("b.copies")).cast("double")
+    while True:
+        ends = [members.select(F.col("id").alias(f"id_{x}"), F.col("cluster").alias(x)) for x in "ab"]
+        linked = links.join(ends[0], "id_a").join(ends[1], "id_b").where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+        linked, linked_path = stage(linked, "linkage")
+        new = linked.join(sums, ["lo", "hi"], "left_anti").join(members.alias("a"), F.col("lo") == F.col("a.cluster")).join(members.alias("b"), F.col("hi") == F.col("b.cluster"))
+        new = new.groupBy("lo", "hi").agg(F.sum(sim * weight).alias("s"), F.sum(weight).alias("n"))
+        known, known_path = stage(sums.join(linked, ["lo", "hi"]).unionByName(new), "linkage")
+        near = known.withColumn("key", F.struct((-F.round(F.col("s") / F.col("n"), 12)).alias("far"), "lo", "hi")).where(F.col("key.far") <= -(threshold - 1e-12))
+        best = near.select(F.explode(F.array("lo", "hi")).alias("me"), "key").groupBy("me").agg(F.min("key").alias("key"))
+        merges, merges_path = stage(best.groupBy("key").count().where("count = 2").select("key.lo", "key.hi"), "linkage")
+        done = not merges.limit(1).count()
+        if not done:
+            moved = members.join(merges.select(F.col("hi").alias("cluster"), "lo"), "cluster", "left").withColumn("cluster", F.coalesce("lo", "cluster")).select(*members.columns)
+            moved, moved_path = stage(moved, "linkage")
+            gone = merges.select(F.explode(F.array("lo", "hi")).alias("x"))
+            kept = known.join(gone.withColumnRenamed("x", "lo"), "lo", "left_anti").join(gone.withColumnRenamed("x", "hi"), "hi", "left_anti").select("lo", "hi", "s", "n")
+            kept, kept_path = stage(kept, "linkage")
+            drop_path(spark, path)
+            members, path = moved, moved_path
+        for p in (linked_path, known_path, merges_path, sums_path):
+            if p:
+                drop_path(spark, p)
+        if done:
+            return members.select("id", "cluster")
+        sums, sums_path = kept, kept_path
+
+
+def agglomerative(fingerprints: DataFrame, pairs: DataFrame, threshold: float, weights: dict[str, float] | None = None, most: int = 5000, copies: DataFrame | None = None) -> DataFrame:
     """``id``, ``cluster`` (smallest id of it) by average linkage within each connected group of similar pairs.
 
     Two clusters without a similar pair between them cannot merge, as their mean lies below the
-    threshold, so groups are independent.  Average linkage itself does not distribute: a group of more than ``most``
-    records is split at no cost of correctness only by raising the threshold, so it raises an error.
+    threshold, so groups are independent.  Groups of up to ``most`` records are clustered in one task each, larger ones in rounds.
+
+    ``copies`` (``id``, ``copies``): how many equal records each record stands for in the means, itself included.
     """
     roots, _ = stage(spread_minimum(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))), "linkage")
-    largest = roots.groupBy("root").count().agg(F.max("count")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"a connected group has {largest} records; average linkage is bounded by {most}")
     names = [h for h, v in S.weights_or_default(weights).items() if v > 0]
     w = np.array([S.weights_or_default(weights)[n] for n in names])
     tables = np.array([[S.transfer_value(n, d) for d in range(65)] for n in names])
@@ -157,11 +199,30 @@ def agglomerative(fingerprints: DataFrame, pairs: DataFrame, threshold: float, w
             both = (h[:, None] != 0) & (h[None, :] != 0)
             d = np.bitwise_count((h[:, None] ^ h[None, :]).view(np.uint64))
             total, by = total + np.where(both, tables[i][d] * w[i], 0), by + both * w[i]
-        label = average_linkage(np.where(by > 0, total / np.where(by > 0, by, 1), 0), threshold - 1e-12)
+        label = average_linkage(np.where(by > 0, total / np.where(by > 0, by, 1), 0), threshold - 1e-12, pdf["copies"].to_numpy())
         return pd.DataFrame({"id": pdf["id"], "cluster": pdf["id"].to_numpy()[label]})
 
     rows = roots.join(fingerprints.select("id", *cols), "id")
-    return rows.groupBy("root").applyInPandas(run, "id string, cluster string")
+    rows = rows.withColumn("copies", F.lit(1).cast("long")) if copies is None else rows.join(copies.select("id", "copies"), "id")
+    large, _ = stage(roots.groupBy("root").count().where(F.col("count") > most).select("root"), "linkage")
+    if not large.limit(1).count():
+        return rows.groupBy("root").applyInPandas(run, "id string, cluster string")
+    small = rows.join(large, "root", "left_anti").groupBy("root").applyInPandas(run, "id string, cluster string")
+    within = roots.join(large, "root").select(F.col("id").alias("id_a"))
+    return small.unionByName(_linkage_rounds(rows.join(large, "root").drop("root"), pairs.join(within, "id_a"), threshold, {n: S.weights_or_default(weights)[n] for n in names}))
+
+
+def agglomerative_images(fingerprints: DataFrame, threshold: float, weights: dict[str, float] | None = None, most: int = 5000) -> DataFrame:
+    """``id``, ``cluster`` by average linkage of every record with a similar or an equal other one.
+
+    Equal hashes are similar by 1 and merge before all others, so a set of them enters as one cluster of its size.
+    """
+    names = sorted(h for h, v in S.weights_or_default(weights).items() if v > 0)
+    classes, _ = stage(D.hash_classes(fingerprints, names).select("id", "copies"), "classes")
+    pairs, _ = stage(D.near_pairs(fingerprints, threshold, weights), "near")
+    found, _ = stage(agglomerative(fingerprints, pairs, threshold, weights, most, classes).withColumnRenamed("id", "rep"), "linkage")
+    alone = classes.where("copies > 1").select(F.col("id").alias("rep"), F.col("id").alias("cluster")).join(found, "rep", "left_anti")
+    return hot_join(D.class_members(fingerprints, weights), found.unionByName(alone), "rep").select("id", "cluster")
 
 
 def cluster_heads(members: DataFrame, key: str, n: int = 5) -> DataFrame:

@@ -345,9 +345,7 @@ def dbscan_image_clusters(spark, d):
 
 @query()
 def agglomerative_clusters(spark, d):
-    fp = images(spark, d)
-    pairs, _ = stage(D.near_pairs(fp, NEAR), "near")
-    return clustering.agglomerative(fp, pairs, NEAR)
+    return clustering.agglomerative_images(images(spark, d), NEAR)
 
 
 @query()

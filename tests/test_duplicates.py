@@ -169,6 +169,16 @@ def test_dbscan_counts_and_returns_copies(spark, frame, records):
     assert {r.id: (r.cluster, r.core) for r in K.dbscan_images(frame, 0.9, 3).collect()} == want
 
 
+@pytest.mark.parametrize("most", [5000, 2])
+def test_average_linkage_over_all_records(frame, records, most):
+    ids = sorted(i for i, h in records.items() if any(h))
+    sim = K.np.array([[1.0 if records[a] == records[b] else similarity(records[a], records[b]) for b in ids] for a in ids])
+    label = K.average_linkage(sim, 0.9 - 1e-12)
+    linked = {a for i, a in enumerate(ids) for j in range(len(ids)) if i != j and sim[i, j] >= 0.9}
+    want = {a: ids[label[i]] for i, a in enumerate(ids) if a in linked}
+    assert {r.id: r.cluster for r in K.agglomerative_images(frame, 0.9, most=most).collect()} == want
+
+
 def test_k_medoids(spark):
     pts = [(f"p{i:02d}", [float(i % 2 * 10 + i / 100)]) for i in range(20)]
     df = spark.createDataFrame(pts, "id string, v array<double>")
