@@ -79,7 +79,8 @@ def k_medoids(rows: DataFrame, k: int, distance: Callable, max_rounds: int = 10,
 
     ``rows``: ``id`` and ``v``; ``distance`` takes two columns.  Starts from the ``k`` smallest ids.
     A cluster's medoid is the member with the smallest sum of distances to the cluster; the members are met
-    with the cluster in blocks, and only sums leave the join.  Stops when no medoid moves by more than ``stop``.
+    with the cluster in blocks, and only sums leave the join.  Stops when no medoid moves by more than ``stop``, and
+    raises an error where that takes more than ``max_rounds``.
     """
     spark = rows.sparkSession
     rows, _ = stage(rows.select("id", "v").where("v is not null"), "medoids")
@@ -108,6 +109,8 @@ def k_medoids(rows: DataFrame, k: int, distance: Callable, max_rounds: int = 10,
         drop_path(spark, path)
         if far is None or far <= stop:
             break
+    else:
+        raise RuntimeError(f"medoids did not settle in {max_rounds} rounds")
     if not medoids:
         return spark.createDataFrame([], "id string, cluster int, medoid string")
     return assign().select("id", "cluster", "medoid")

@@ -351,7 +351,7 @@ def agglomerative_clusters(spark, d):
 @query()
 def k_medoid_clusters(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return clustering.k_medoids(rows, 8, lambda a, b: 1 - S.cosine(a, b), max_rounds=4)
+    return clustering.k_medoids(rows, 8, lambda a, b: 1 - S.cosine(a, b), max_rounds=100)
 
 
 _LSH = dict(dim=64, tables=2, bits=6)

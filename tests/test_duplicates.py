@@ -179,6 +179,12 @@ def test_average_linkage_over_all_records(frame, records, most):
     assert {r.id: r.cluster for r in K.agglomerative_images(frame, 0.9, most=most).collect()} == want
 
 
+def test_medoids_that_do_not_settle_are_no_result(spark):
+    df = spark.createDataFrame([(f"p{i:02d}", [float(i)]) for i in range(20)], "id string, v array<double>")
+    with pytest.raises(RuntimeError):
+        K.k_medoids(df, 2, S.euclidean, max_rounds=1)
+
+
 def test_k_medoids(spark):
     pts = [(f"p{i:02d}", [float(i % 2 * 10 + i / 100)]) for i in range(20)]
     df = spark.createDataFrame(pts, "id string, v array<double>")
