@@ -8,114 +8,93 @@ Beyond (SoCC 2014).  Edges are kept oriented (``hi`` > ``lo``).
 
 With oriented edges only the smaller neighbours decide a minimum, so both steps are one
 ``groupBy(hi).min(lo)`` (partially aggregated) and one equi-join.  Nodes with very many edges
-are joined apart (``hot_join``), so no task receives a hot node's edges.  Before each round
-chunks of bounded size are contracted within their partitions, which shortens long detours
-without a shuffle.
+are joined apart (``hot_join``), so no task receives a hot node's edges.  Nodes that are not whole
+numbers are numbered in their own order first, so the rewrites move 16 bytes an edge, and the smallest number
+of a component is its smallest node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumenfold.runtime import drop_path, hot_join, stage
-
-#: Edges that one pass of the local contraction holds in a worker.
-CHUNK_EDGES = 200_000
+from lumenfold.runtime import drop_path, hot_join, stage, width
 
 
-def _with_min(edges: DataFrame, minima: DataFrame, on: str) -> DataFrame:
-    """``edges`` left-joined with the minimum of the node in column ``on`` (as ``m``)."""
+def _with_min(edges: DataFrame, on: str) -> DataFrame:
+    """``edges`` left-joined with the smallest neighbour ``m`` of the node in column ``on`` (null where all are larger)."""
+    minima = edges.groupBy("hi").agg(F.min("lo").alias("m"))
     return hot_join(edges, minima.select(F.col("hi").alias(on), "m"), on, "left")
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rewrite chunks of edges into stars around their own components' minima (keeps connectivity)."""
-
-    def flush(parent: dict) -> pa.RecordBatch | None:
-        hi, lo = [], []
-        for node in parent:
-            root = node
-            while parent[root] != root:
-                root = parent[root]
-            while parent[node] != root and node != root:
-                parent[node], node = root, parent[node]
-        for node, root in parent.items():
-            if node != root:
-                while parent[root] != root:
-                    root = parent[root]
-                hi.append(node)
-                lo.append(root)
-        return pa.RecordBatch.from_arrays([pa.array(hi, kind), pa.array(lo, kind)], names=["hi", "lo"]) if hi else None
-
-    parent: dict = {}
-    seen, kind = 0, None
-    for batch in batches:
-        kind = batch.column(0).type
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for x in (a, b):
-                parent.setdefault(x, x)
-            while parent[a] != a:
-                parent[a] = parent[parent[a]]
-                a = parent[a]
-            while parent[b] != b:
-                parent[b] = parent[parent[b]]
-                b = parent[b]
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        seen += batch.num_rows
-        if seen >= CHUNK_EDGES:
-            if out := flush(parent):
-                yield out
-            parent, seen = {}, 0
-    if parent and (out := flush(parent)):
-        yield out
-
-
-def _orient(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
-
-
-def _signature(df: DataFrame) -> tuple:
-    r = df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % F.lit(1 << 40))).first()
-    return r[0], r[1]
-
-
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def large_star(edges: DataFrame) -> DataFrame:
+    """(v, u) with v > u becomes (v, smallest neighbour of u or u itself)."""
+    return _with_min(edges, "lo").select("hi", F.coalesce("m", "lo").alias("lo"))
+
+
+def small_star(edges: DataFrame) -> DataFrame:
+    """(u, n) with n < u becomes (n, m) and (u, m), where m is the smallest neighbour of u."""
+    both = F.explode(F.array(F.col("lo"), F.col("hi"))).alias("hi")
+    return _with_min(edges, "hi").select(both, F.col("m").alias("lo")).where("hi <> lo").distinct()
+
+
+def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The pairs by the rank numbers of their nodes, the nodes (``node``, ``no``), and the folders of both."""
+    spark = pairs.sparkSession
+    names, names_path = stage(pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct(), "cc-names")
+    ranked = names.repartitionByRange(width(spark), "node").sortWithinPartitions("node").withColumn("no", F.monotonically_increasing_id())
+    nodes, nodes_path = stage(ranked, "cc-nodes")
+    drop_path(spark, names_path)
+    out = pairs
+    for end in ("hi", "lo"):
+        out = hot_join(out, nodes.select(F.col("node").alias(end), F.col("no").alias(f"{end}_no")), end)
+    numbered, path = stage(out.select(F.col("hi_no").alias("hi"), F.col("lo_no").alias("lo")), "cc")
+    return numbered, nodes, [path, nodes_path]
+
+
+def rewrite(edges: DataFrame, path: str | None = None) -> tuple[DataFrame, str | None, int]:
+    """Stars of all components by alternating steps until a whole round changes nothing; also the rounds taken.
+
+    ``edges``: distinct ``hi`` > ``lo``; ``path``: their folder, given up after the first round.
+    """
+    spark, rounds, before = edges.sparkSession, 0, None
+    while True:
+        rounds += 1
+        mid, mid_path = stage(large_star(edges), "cc")
+        seen = Observation()
+        counted = small_star(mid).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
+        nxt, nxt_path = stage(counted, "cc")
+        for p in (path, mid_path):
+            if p:
+                drop_path(spark, p)
+        edges, path, now = nxt, nxt_path, (seen.get["n"], seen.get["s"])
+        if now == before or not now[0]:
+            return edges, path, rounds
+        before = now
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Every node that has an edge to another node, with the minimum node of its component.
 
     Input: any two columns of one orderable type; null ends, self-loops and repeated edges are
     ignored; other columns are not looked at.  Output: ``node``, ``component``; an empty input
-    gives an empty result.  The loop ends when a whole round changes nothing.
+    gives an empty result.  The loop ends when a whole round changes nothing, which it always does, as
+    every change brings a node closer to its minimum.
     """
     spark = edges.sparkSession
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    cur, path = stage(_orient(e, "a", "b"), "cc")
-    sig = _signature(cur)
-    for _ in range(max_rounds):
-        if not sig[0]:
-            break
-        # large-star: (v, u) with v > u becomes (v, min(u))
-        local = cur.mapInArrow(_contract, cur.schema).distinct()
-        first, first_path = stage(local, "cc")
-        minima = first.groupBy("hi").agg(F.min("lo").alias("m"))
-        large = _with_min(first, minima, "lo").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
-        mid, mid_path = stage(large, "cc")
-        # small-star: u with smaller neighbours N becomes (n, min N) for n in N, and (u, min N)
-        minima = mid.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = _with_min(mid, minima, "hi")
-        small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-        nxt, nxt_path = stage(small.unionByName(minima.select("hi", F.col("m").alias("lo"))).distinct(), "cc")
-        for p in (path, first_path, mid_path):
-            drop_path(spark, p)
-        new = _signature(nxt)
-        cur, path, done, sig = nxt, nxt_path, new == sig, new
-        if done:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = cur.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
+    pairs = e.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
+    pairs, path = stage(pairs, "cc")
+    nodes = None
+    if not isinstance(pairs.schema["hi"].dataType, T.IntegralType):
+        numbered, nodes, _ = _numbered(pairs)
+        drop_path(spark, path)
+        pairs, path = numbered, None
+    stars, _, _ = rewrite(pairs, path)
+    roots = stars.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    out = stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
+    if nodes is None:
+        return out
+    named = out.join(nodes.select(F.col("no").alias("node"), F.col("node").alias("name")), "node").select("name", "component")
+    return hot_join(named, nodes.select(F.col("no").alias("component"), F.col("node").alias("top")), "component").select(F.col("name").alias("node"), F.col("top").alias("component"))

@@ -28,8 +28,7 @@ def union(edges):
 
 
 @pytest.mark.parametrize("shape", ["random", "chain", "star", "empty"])
-def test_components(spark, shape, monkeypatch):
-    monkeypatch.setattr(CC, "CHUNK_EDGES", 7)  # rounds are needed even on small data
+def test_components(spark, shape):
     rng = random.Random(8)
     edges = {
         "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(260)],
@@ -42,6 +41,20 @@ def test_components(spark, shape, monkeypatch):
     assert {r.node: r.component for r in got} == union(edges) and len(got) == len({r.node for r in got})
 
 
+def test_star_steps_do_the_work(spark):
+    """One step of each kind as defined; a chain takes several rounds, and text nodes keep their own order."""
+    edges = [(5, 1), (5, 3), (7, 5), (9, 5), (4, 2)]
+    df = spark.createDataFrame(edges, "hi long, lo long")
+    assert sorted(map(tuple, CC.large_star(df).collect())) == [(4, 2), (5, 1), (5, 3), (7, 1), (9, 1)]
+    assert sorted(map(tuple, CC.small_star(df).collect())) == [(3, 1), (4, 2), (5, 1), (7, 5), (9, 5)]
+    chain = spark.createDataFrame([(i + 1, i) for i in range(64)], "hi long, lo long").repartition(2)
+    stars, _, rounds = CC.rewrite(chain)
+    assert rounds > 3 and sorted(map(tuple, stars.collect())) == [(i, 0) for i in range(1, 65)]
+    named = [(f"n{i:02}", f"n{i + 1:02}") for i in range(30)] + [("Z", "é"), ("é", "y")]
+    got = {r.node: r.component for r in CC.connected_components(spark.createDataFrame(named, "src string, dst string")).collect()}
+    assert got == union(named) and got["é"] == "Z"
+
+
 def test_hot_nodes_are_joined_apart(spark, monkeypatch):
     from lumenfold import runtime
 
