@@ -12,7 +12,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,13 +87,13 @@ class ShiftSearch:
         self.shift: dict[tuple[str, str], int] = {}
         self.buckets: dict[tuple[str, str], dict[tuple[str, ...], set[int]]] = {}
         for item, text in items:
-            words = next(readings(text or ""))
-            for start in range(len(words) - length + 1):
-                p = words[start : start + length]
-                for end in range(1, length):
-                    block = (p[end - 1], p[end])
-                    self.shift[block] = min(self.shift.get(block, length), length - 1 - end)
-                self.buckets.setdefault((p[-2], p[-1]), {}).setdefault(tuple(p), set()).add(item)
+            for words in readings(text or ""):
+                for start in range(len(words) - length + 1):
+                    p = words[start : start + length]
+                    for end in range(1, length):
+                        block = (p[end - 1], p[end])
+                        self.shift[block] = min(self.shift.get(block, length), length - 1 - end)
+                    self.buckets.setdefault((p[-2], p[-1]), {}).setdefault(tuple(p), set()).add(item)
 
     def find(self, words: list[str]) -> set[int]:
         found: set[int] = set()
@@ -120,24 +121,61 @@ class ShiftSearch:
         return found
 
 
-def find_leaks(documents: DataFrame, items: list[tuple[int, str]], min_words: int = MIN_WORDS) -> DataFrame:
+#: Item text, in characters, whose tables a worker holds at a time; more items are searched in several passes.
+BLOCK_CHARS = 8_000_000
+_TABLES: dict[str, ShiftSearch] = {}
+
+
+def _tables(key: str, items: list[tuple[int, str]], length: int) -> ShiftSearch:
+    """The tables of a block of items, built once in a worker."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = ShiftSearch(items, length)
+    return _TABLES[key]
+
+
+def _blocks(items: Iterable[tuple[int, str]], most: int) -> Iterator[list[tuple[int, str]]]:
+    block, size = [], 0
+    for i, t in items:
+        if i is None or not t:
+            continue
+        if block and size + len(t) > most:
+            yield block
+            block, size = [], 0
+        block.append((int(i), t))
+        size += len(t)
+    if block:
+        yield block
+
+
+def find_leaks(documents: DataFrame, items: DataFrame | list[tuple[int, str]], min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id``, ``item_id``: documents holding ``min_words`` consecutive words of an item.
 
-    The items (a fixed held-out set; two numbers and a text each) travel with the task, as their tables are
-    built once per worker.  Null and empty texts and items shorter than ``min_words`` give no
-    row; repeated documents give their row once.
+    ``items``: a table of item_id and item_text, or a list of both (a held-out set).  They travel with the tasks in blocks of at most
+    ``block_chars`` characters, and the documents are read once a block.  Both sides count in all readings of their notation.
+    Null and empty texts and items shorter than ``min_words`` give no row; repeated documents give their row once.
     """
-    items = [(int(i), t) for i, t in items if i is not None and t]
+    if isinstance(items, DataFrame):
+        items = ((r[0], r[1]) for r in items.select("item_id", "item_text").toLocalIterator())
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = ShiftSearch(items, min_words)
-        for batch in batches:
-            ids, hits = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for item in tables.search(text.as_py()):
-                    ids.append(doc)
-                    hits.append(item)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, pa.int64())], schema=schema)
-
-    return documents.select("doc_id", "text").where("text is not null").mapInArrow(scan, "doc_id long, item_id long").distinct()
+    kind = "doc_id long, item_id long"
+
+    def search(block: list[tuple[int, str]]) -> DataFrame:
+        key = uuid.uuid4().hex
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = _tables(key, block, min_words)
+            for batch in batches:
+                ids, hits = [], []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    for item in tables.search(text.as_py()):
+                        ids.append(doc)
+                        hits.append(item)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, pa.int64())], schema=schema)
+
+        return documents.select("doc_id", "text").where("text is not null").mapInArrow(scan, kind)
+
+    found = None
+    for block in _blocks(items, block_chars):
+        found = search(block) if found is None else found.unionByName(search(block))
+    return documents.sparkSession.createDataFrame([], kind) if found is None else found.distinct()
