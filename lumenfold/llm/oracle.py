@@ -95,5 +95,14 @@ def _p5(field: str, dim: int) -> str:
 P5 = _p5("feature_vector", 52) + " UNION ALL " + _p5("color_histogram", 48)
 
 
+def _facts(limit: int, more: str = "") -> str:
+    return f"""SELECT doc_id, length(text) AS chars, 0::BIGINT AS begins, length(text) AS ends, 0::BIGINT AS above, CASE WHEN strlen(text) <= {limit} THEN 1::BIGINT END AS pieces_if_small{more}
+      FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"""
+
+
+#: The capacity and the limit of the queries.
+P8, P10 = _facts(8192, ", 0::BIGINT AS containers_above"), _facts(1024)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p4_found": P4, "p4_records": P4_RECORDS, "p5_found": P5, "p6_found": P6, "p7_found": P7}
+    return {"p1_found": P1, "p4_found": P4, "p4_records": P4_RECORDS, "p5_found": P5, "p6_found": P6, "p7_found": P7, "p8_facts": P8, "p10_facts": P10}

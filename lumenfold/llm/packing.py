@@ -1,16 +1,18 @@
 """Problem 8: texts into containers of a fixed token capacity, by bulk-synchronous best fit.
 
-Each round sorts items and gaps together by size over ranges.  A sweep up a range lets every gap
-take the largest items that are not larger and still free (its predecessors); what stays free in a range is matched with
-the gaps left in higher ranges by rank, planned from a few numbers a range.  Gaps are updated and
-the round is repeated; when nothing fits any more, new containers are opened for the largest items.
-Texts larger than the capacity are split first; very small texts are bundled, so that the
-number of rounds depends on the capacity and not on the number of texts.
+Items are range-sorted by size and ranked among those of equal size; gaps are kept by size too.  The sweep goes over
+classes of equal size, of which there are at most capacity + 1, however many items there are: the largest class takes its successors
+among the gaps (the tightest that hold it), as many items a gap as fit; conflicts are resolved by rank, the item of rank r
+going to the container of its place in the run of gaps; the gaps are updated, what is left opens new containers, and the next
+class follows.  This is what placing one item after another by best fit over falling sizes gives.  Only class counts reach the
+driver, and only runs of ranks (a few for a class) leave it; items are sorted once and never gathered.
+Texts larger than the capacity are split first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,194 +22,126 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.splitting import split_documents
 from lumenfold.llm.tokens import VOCABULARY
-from lumenfold.runtime import drop_path, stage, width
+from lumenfold.runtime import stage, width
 
 CAPACITY = 8192
-#: Items below this share of the capacity are bundled up to twice that share.
-SMALL = 1 / 64
-ROW = "is_gap boolean, size long, item long, container long"
+#: Items aimed at in a range.
+RANGE_ROWS = 100_000
+#: Most size classes; with a larger capacity sizes are rounded up to its share of this, which costs less than this share of the space.
+MAX_CLASSES = 1 << 16
 
 
-def _ranges(df: DataFrame, n: int) -> DataFrame:
-    """Adds ``chunk``: the number of the range of sizes (items before gaps of equal size)."""
+def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Runs (size, first rank, first container, items a container) of every size class, and the number of containers.
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me = TaskContext.get().partitionId()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, me, np.int32)), *b.columns], names=["chunk", *b.schema.names])
-
-    schema = "chunk int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.repartitionByRange(n, "size", "is_gap", F.coalesce("item", "container")).mapInArrow(number, schema)
-
-
-def sweep(size: np.ndarray, is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows in order of size: the gap that each item goes to (-1: none), and every gap's rest."""
-    taken, rest, free = np.full(len(size), -1), size.copy(), []
-    for i in range(len(size)):
-        if not is_gap[i]:
-            free.append(i)
-            continue
-        while free and size[free[-1]] <= rest[i]:
-            j = free.pop()
-            taken[j] = i
-            rest[i] -= size[j]
-    return taken, rest
-
-
-def _local(t: pa.Table) -> pa.Table:
-    """One range's sweep: assigned items, changed gaps, and the rank of what is left."""
-    size, gap = t.column("size").to_numpy(), t.column("is_gap").to_numpy(zero_copy_only=False)
-    item = t.column("item").fill_null(-1).to_numpy()
-    box = t.column("container").fill_null(-1).to_numpy()
-    order = np.lexsort((np.where(gap, box, item), gap, size))
-    size, gap, item, box = size[order], gap[order], item[order], box[order]
-    taken, rest = sweep(size, gap)
-    box = np.where(gap, box, np.where(taken >= 0, box[taken], -1))
-    left = np.where(gap, rest == size, taken < 0)  # untouched gaps, free items
-    rank = np.full(len(size), -1)
-    at = np.flatnonzero(left & gap)
-    rank[at] = np.arange(len(at))  # smallest gap first
-    at = np.flatnonzero(left & ~gap)
-    rank[at] = np.arange(len(at))[::-1]  # largest item first
-    return pa.table({"chunk": pa.array(np.full(len(size), t.column("chunk")[0].as_py(), np.int32)), "is_gap": pa.array(gap), "size": pa.array(np.where(gap, rest, size)), "item": pa.array(item), "container": pa.array(box), "rank": pa.array(rank.astype(np.int64))})
-
-
-def plan_across(items: dict[int, int], gaps: dict[int, int]) -> tuple[list, list]:
-    """Segments (chunk, first rank, length, number) of free items and of gaps above them, matched in pairs."""
-    stack: list[list[int]] = []
-    item_segments, gap_segments, no = [], [], 0
-    for chunk in sorted(set(items) | set(gaps)):
-        want, at = gaps.get(chunk, 0), 0
-        while want and stack:
-            c, first, n = stack[-1]
-            k = min(n, want)
-            item_segments.append((c, first, k, no))
-            gap_segments.append((chunk, at, k, no))
-            no, want, at = no + 1, want - k, at + k
-            if k == n:
-                stack.pop()
+    ``counts``: how many items have each size.  Items of one size and one run go, in the order of their ranks, to the
+    run's containers one after the other.  Items of size 0 are spread over all containers.
+    """
+    runs: list[tuple[int, int, int, int]] = []
+    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> ranges of containers that have it
+    order: list[int] = []  # the gaps there are, rising
+    containers = 0
+
+    def put(gap: int, first: int, end: int) -> None:
+        if gap and end > first:
+            if gap not in gaps:
+                gaps[gap] = []
+                insort(order, gap)
+            gaps[gap].append((first, end))
+
+    for size in sorted((s for s in counts if s), reverse=True):
+        left, rank = counts[size], 0
+        while left:
+            at = bisect_left(order, size)
+            if at < len(order):
+                gap = order[at]
+                first, end = gaps[gap].pop()
+                if not gaps[gap]:
+                    del gaps[gap], order[at]
             else:
-                stack[-1] = [c, first + k, n - k]
-        if items.get(chunk):
-            stack.append([chunk, 0, items[chunk]])
-    return item_segments, gap_segments
+                gap, first = capacity, containers
+                end = containers = first + -(-left // (capacity // size))
+            each = gap // size
+            full = min(end - first, left // each)
+            rest = left - full * each if first + full < end and left - full * each < each else 0
+            used = first + full + (1 if rest else 0)
+            runs.append((size, rank, first, each))
+            put(gap - each * size, first, first + full)
+            if rest:
+                put(gap - rest * size, first + full, used)
+            put(gap, used, end)
+            rank, left = rank + full * each + rest, left - full * each - rest
+    if counts.get(0):
+        containers = max(1, containers)
+        runs.append((0, 0, 0, -(-counts[0] // containers)))
+    return runs, containers
+
+
+def _ranked(items: DataFrame, size: str, order: Sequence[str], rows: int) -> DataFrame:
+    """Items sorted over ranges, with the number of their range and their rank among its items of equal size."""
+    spark = items.sparkSession
 
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me, last, seen = TaskContext.get().partitionId(), -1, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = b.column(0).to_numpy()
+            begins = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            k = np.arange(len(s)) - np.repeat(begins, np.diff(np.r_[begins, len(s)]))
+            if s[0] == last:
+                k[: begins[1] if len(begins) > 1 else len(s)] += seen
+            last, seen = int(s[-1]), int(k[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), me, np.int32)), pa.array(k), *b.columns], names=["_range", "_rank", *b.schema.names])
 
-def _keyed(rows: DataFrame, segments: list) -> DataFrame:
-    """Adds ``seg`` and ``off`` to the rows that lie in a segment (at most two segments a range)."""
-    spark = rows.sparkSession
-    s = spark.createDataFrame(segments, "chunk int, first long, n long, seg long")
-    joined = rows.join(F.broadcast(s), "chunk").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
-    return joined.withColumn("off", F.col("rank") - F.col("first")).drop("first", "n")
+    n = max(1, min(width(spark), -(-rows // RANGE_ROWS)))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    return items.repartitionByRange(n, size, *order).sortWithinPartitions(size, *order).mapInArrow(rank, f"_range int, _rank long, {fields}")
 
 
-def pack(items: DataFrame, capacity: int, max_rounds: int = 400) -> DataFrame:
-    """``item``, ``container``, for items (``item`` long, distinct; ``size`` long within 0..capacity).
+def pack(items: DataFrame, capacity: int, order: Sequence[str] = ("item",), size: str = "size") -> DataFrame:
+    """``items`` with ``container`` (from 0), sizes within 0..``capacity``; ``order`` names columns that tell items of equal size apart.
 
-    Containers are numbered by their first item.  No item is split, left out or put out twice.
+    No item is split, left out or put out twice.  Items of size 0 lie in any container.  Without items there is no row.
     """
     spark = items.sparkSession
-    n = width(spark)
-    bad = items.where((F.col("size") > capacity) | (F.col("size") < 0) | F.col("size").isNull() | F.col("item").isNull()).limit(1).count()
-    if bad:
+    grain = -(-capacity // MAX_CLASSES)
+    cols = items.columns
+    sized = items.select(F.ceil(F.col(size) / grain).cast("long").alias("_size") if grain > 1 else F.col(size).cast("long").alias("_size"), *cols)
+    facts = items.agg(F.count("*").alias("n"), F.count_if(F.col(size).isNull() | (F.col(size) > capacity) | (F.col(size) < 0)).alias("bad")).first()
+    if facts.bad:
         raise ValueError("sizes must lie within 0..capacity")
-    state = items.select(F.lit(False).alias("is_gap"), F.col("size").cast("long"), F.col("item").cast("long"), F.lit(-1).cast("long").alias("container"))
-    path, placed = None, []
-    for _ in range(max_rounds):
-        totals = state.groupBy("is_gap").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.sum((F.col("size") * 2 > capacity).cast("long")).alias("big")).collect()
-        by = {r.is_gap: r for r in totals}
-        if False not in by:
-            break
-        need = by[False].s - (by[True].s if True in by else 0)
-        # open what the items need beyond the gaps there are, for the largest items
-        fresh = max(int(by[False].big), -(-need // capacity) if need > 0 else 0)
-        if True in by and placed and not placed[-1][2]:
-            fresh = max(1, fresh, -(-by[False].s // capacity))
-        if True not in by:
-            fresh = max(1, fresh)
-        done = [p for p in (path,) if p]
-        opened = None
-        if fresh:
-            state, opened = _open(state, capacity, min(fresh, by[False].n), n)
-        moved = _ranges(state, n).groupBy("chunk").applyInArrow(_local, "chunk int, is_gap boolean, size long, item long, container long, rank long")
-        swept, swept_path = stage(moved, "p8-sweep")
-        counts = swept.where("rank >= 0").groupBy("chunk", "is_gap").count().collect()  # two rows a range
-        free = {r.chunk: r["count"] for r in counts if not r.is_gap}
-        gaps = {r.chunk: r["count"] for r in counts if r.is_gap}
-        item_segments, gap_segments = plan_across(free, gaps)
-        now = swept.where("not is_gap and rank < 0").select("item", "container")
-        if opened is not None:
-            now = now.unionByName(opened.select("item", "container"))
-        rest = swept.select("is_gap", "size", "item", "container")
-        if item_segments:
-            a = _keyed(swept.where("not is_gap and rank >= 0"), item_segments).select("seg", "off", "item", F.col("size").alias("used"))
-            b = _keyed(swept.where("is_gap and rank >= 0"), gap_segments).select("seg", "off", F.col("container").alias("box"))
-            pairs, pairs_path = stage(a.join(b, ["seg", "off"]).select("item", "used", "box"), "p8-pairs")
-            now = now.unionByName(pairs.select("item", F.col("box").alias("container")))
-            used = pairs.select(F.col("box").alias("container"), "used")
-            taken = pairs.select("item", F.lit(True).alias("taken"))
-            open_gaps = swept.where("is_gap").join(used, "container", "left").withColumn("size", F.col("size") - F.coalesce("used", F.lit(0)))
-            free_items = swept.where("not is_gap and rank >= 0").join(taken, "item", "left_anti")
-            rest = open_gaps.select("is_gap", "size", "item", "container").unionByName(free_items.select("is_gap", "size", "item", "container"))
-        else:
-            rest = rest.where(F.col("is_gap") | (F.col("container") < 0))
-        got, got_path = stage(now, "p8-placed")
-        state, path = stage(rest.where("not is_gap or size > 0"), "p8-state")
-        placed.append((got, got_path, got.count() > 0))
-        for p in [*done, swept_path, *([pairs_path] if item_segments else [])]:
-            drop_path(spark, p)
-    else:
-        raise RuntimeError("items left over")
-    out = spark.createDataFrame([], "item long, container long")
-    return out if not placed else spark.read.schema("item long, container long").parquet(*[p[1] for p in placed])
-
-
-def _open(state: DataFrame, capacity: int, count: int, n: int) -> tuple[DataFrame, DataFrame]:
-    """The ``count`` largest free items open containers of their own (numbered by the item)."""
-    items = state.where("not is_gap")
-    hist = items.groupBy("size").count().orderBy(F.col("size").desc())  # at most capacity + 1 rows
-    left, cut = count, None
-    for r in hist.collect():
-        if r["count"] > left:
-            cut = r["size"]
-            break
-        left -= r["count"]
-        cut = r["size"] - 0.5 if left == 0 else None
-        if left == 0:
-            break
-    if cut is None:
-        first = items
-    elif left == 0:
-        first = items.where(F.col("size") > cut)
-    else:
-        # of the size that is cut through, the smallest item numbers
-        at = items.where(F.col("size") == cut)
-        edge = at.selectExpr(f"approx_percentile(item, {left / max(1, at.count())}, 10000) as e").first().e
-        first = items.where((F.col("size") > cut) | ((F.col("size") == cut) & (F.col("item") <= edge)))
-    first, _ = stage(first.select("item", "size"), "p8-open")
-    boxes = first.select(F.lit(True).alias("is_gap"), (F.lit(capacity) - F.col("size")).alias("size"), F.lit(-1).cast("long").alias("item"), F.col("item").alias("container"))
-    rest = state.join(first.select("item", F.lit(False).alias("is_gap")), ["item", "is_gap"], "left_anti").select("is_gap", "size", "item", "container")
-    return rest.unionByName(boxes), first.select("item", F.col("item").alias("container"))
-
-
-def _bundles(items: DataFrame, capacity: int, n: int) -> DataFrame:
-    """``item``, ``size``, ``bundle``: small items share the bundle of a neighbour in size; others stand alone."""
-    small, most = int(capacity * SMALL), int(2 * capacity * SMALL)
-
-    def group(t: pa.Table) -> pa.Table:
-        size, item = t.column("size").to_numpy(), t.column("item").to_numpy()
-        order = np.lexsort((item, -size))
-        head, total, out = -1, 0, np.empty(len(size), np.int64)
-        for i in order:
-            if head < 0 or total + size[i] > most:
-                head, total = item[i], 0
-            total += size[i]
-            out[i] = head
-        return pa.table({"item": item, "size": size, "bundle": out})
-
-    tiny = items.where(F.col("size") < small).select(F.lit(False).alias("is_gap"), "size", "item", F.lit(-1).cast("long").alias("container"))
-    grouped = _ranges(tiny, n).groupBy("chunk").applyInArrow(group, "item long, size long, bundle long")
-    return items.where(F.col("size") >= small).select("item", "size", F.col("item").alias("bundle")).unionByName(grouped)
+    ranked, _ = stage(_ranked(sized, "_size", order, facts.n), "p8-ranked")
+    # ranges are consecutive, so there are at most ranges + classes pairs of range and size
+    found = ranked.groupBy("_range", "_size").count().collect()
+    counts: dict[int, int] = {}
+    offset: dict[int, dict[int, int]] = {}
+    for r in sorted(found, key=lambda r: (r._range, r._size)):
+        offset.setdefault(r._range, {})[r._size] = counts.get(r._size, 0)
+        counts[r._size] = counts.get(r._size, 0) + r["count"]
+    runs, _ = plan(counts, capacity // grain)
+    by_size: dict[int, tuple] = {}
+    for s, rank, first, each in runs:
+        by_size.setdefault(s, ([], [], []))
+        for col, v in zip(by_size[s], (rank, first, each)):
+            col.append(v)
+    by_size = {s: tuple(np.array(c, np.int64) for c in x) for s, x in by_size.items()}
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part, rank, s = (b.column(i).to_numpy() for i in range(3))
+            out = np.empty(len(s), np.int64)
+            keys = np.r_[True, (s[1:] != s[:-1]) | (part[1:] != part[:-1])] if len(s) else np.zeros(0, bool)
+            begins = np.flatnonzero(keys)
+            for a, z in zip(begins, np.r_[begins[1:], len(s)]):
+                at = rank[a:z] + offset[int(part[a])][int(s[a])]
+                ranks, first, each = by_size[int(s[a])]
+                k = np.searchsorted(ranks, at, "right") - 1
+                out[a:z] = first[k] + (at - ranks[k]) // each[k]
+            yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.array(out)], names=[*cols, "container"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    return ranked.mapInArrow(assign, f"{fields}, container long")
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -216,13 +150,5 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: s
     Only texts larger than the capacity are split (``piece_no`` > 1 exists for them alone), at natural
     boundaries and without overlap.  Empty texts take no space; null ids and texts are left out.
     """
-    spark = documents.sparkSession
-    pieces = split_documents(documents, capacity, 0, vocabulary).drop("piece_text", "core_from")
-    # an item's number: order of (doc_id, piece_no); 2^20 pieces a document
-    pieces = pieces.withColumn("item", F.col("doc_id") * (1 << 20) + F.col("piece_no"))
-    pieces, _ = stage(pieces, "p8-pieces")
-    grouped, _ = stage(_bundles(pieces.select("item", F.col("n_tokens").cast("long").alias("size")), capacity, width(spark)), "p8-items")
-    bundles = grouped.groupBy("bundle").agg(F.sum("size").alias("size")).select(F.col("bundle").alias("item"), "size")
-    boxes = pack(bundles, capacity).select(F.col("item").alias("bundle"), "container")
-    whole = pieces.join(grouped.select("item", "bundle"), "item").join(boxes, "bundle")
-    return whole.select("doc_id", "piece_no", "char_from", "char_to", "n_tokens", "container")
+    pieces, _ = stage(split_documents(documents, capacity, 0, vocabulary, texts=False).drop("core_from"), "p8-pieces")
+    return pack(pieces, capacity, ("doc_id", "piece_no"), "n_tokens")

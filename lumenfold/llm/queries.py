@@ -53,5 +53,26 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_documents(table(spark, sf_dir, "documents"))
 
 
+def _piece_facts(pieces: DataFrame, documents: DataFrame, core: str, limit: int) -> DataFrame:
+    """What SQL can state of the pieces of each document: the characters they cover, holes and pieces above the limit, and whether a text that must stay whole did."""
+    by = pieces.groupBy("doc_id").agg(
+        F.sum(F.col("char_to") - F.col(core)).alias("chars"), F.min(core).cast("long").alias("begins"), F.max("char_to").cast("long").alias("ends"), F.count_if(F.col("n_tokens") > limit).alias("above"), F.count("*").alias("pieces")
+    )
+    small = documents.where("text is not null").select("doc_id", (F.octet_length("text") <= limit).alias("small"))
+    return by.join(small, "doc_id").select("doc_id", "chars", "begins", "ends", "above", F.when(F.col("small"), F.col("pieces")).alias("pieces_if_small"))
+
+
+def p8_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    packed, _ = stage(packing.pack_documents(docs), "p8")
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > packing.CAPACITY).alias("containers_above"))
+    return _piece_facts(packed, docs, "char_from", packing.CAPACITY).crossJoin(F.broadcast(over))  # one row
+
+
+def p10_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _piece_facts(splitting.split_documents(docs, texts=False), docs, "core_from", splitting.LIMIT)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit()}

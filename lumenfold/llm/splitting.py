@@ -120,13 +120,13 @@ def split_text(text: str, cell_ends: list[int], c: Counter, limit: int, overlap:
         todo += [(k, z, tk, tz), (a, k, ta, tk)]
     out = []
     for no, (a, z, ta) in enumerate(cores):
-        start = min(a, t.place(max(0, ta - overlap))) if no else a
+        start = min(a, t.place(max(0, ta - overlap))) if no and overlap else a
         out.append((start, a, z, t.count(start, z)))
     return out
 
 
-def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id``, ``piece_no`` (from 1), ``char_from``, ``core_from``, ``char_to``, ``n_tokens``, ``piece_text``.
+def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY, texts: bool = True) -> DataFrame:
+    """``doc_id``, ``piece_no`` (from 1), ``char_from``, ``core_from``, ``char_to``, ``n_tokens`` and, with ``texts``, ``piece_text``.
 
     ``char_from`` .. ``core_from`` is shared with the piece before.  Texts within the limit stay
     whole; empty texts give one empty piece, null texts and ids none.  Counts are those of the piece encoded
@@ -134,7 +134,7 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be smaller than the limit")
-    schema = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("char_from", pa.int32()), ("core_from", pa.int32()), ("char_to", pa.int32()), ("n_tokens", pa.int32()), ("piece_text", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("char_from", pa.int32()), ("core_from", pa.int32()), ("char_to", pa.int32()), ("n_tokens", pa.int32()), ("piece_text", pa.string())][: 7 if texts else 6])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary)
@@ -145,9 +145,9 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
                 text = text.as_py()
                 cell_ends = sorted({x for x in cells.as_py() or [] if x is not None and 0 < x < len(text)})
                 for no, (start, core, end, n) in enumerate(_within(text, cell_ends, c, limit, overlap), 1):
-                    for col, v in zip(cols, (doc.as_py(), no, start, core, end, n, text[start:end])):
+                    for col, v in zip(cols, (doc.as_py(), no, start, core, end, n, text[start:end] if texts else None)):
                         col.append(v)
-                    size += end - start
+                    size += end - start if texts else 100
                 if size > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema)], schema=schema)
                     cols, size = [[] for _ in schema], 0
@@ -155,7 +155,7 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
 
     src = documents.where("doc_id is not null and text is not null")
     ends = F.transform("cells", lambda x: x.char_to) if "cells" in documents.columns else F.lit(None).cast("array<int>")
-    kind = "doc_id long, piece_no int, char_from int, core_from int, char_to int, n_tokens int, piece_text string"
+    kind = "doc_id long, piece_no int, char_from int, core_from int, char_to int, n_tokens int" + ", piece_text string" * texts
     return src.select("doc_id", "text", ends.alias("ends")).mapInArrow(run, kind)
 
 

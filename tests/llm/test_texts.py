@@ -68,7 +68,7 @@ def test_split_round_trip(limit, overlap):
         pieces = S._within(text, [len(text) // 3, len(text) // 2] if len(text) > 10 else [], c, limit, overlap)
         at = 0
         for start, core, end, n in pieces:
-            assert core == at and start <= core and (end > core or not text)
+            assert core == at and start <= core and (end > core or not text) and (overlap or start == core)
             # a character of several tokens is never cut
             assert n == c.count(text[start:end]) and (n <= limit or end - core == 1)
             at = end
@@ -137,9 +137,30 @@ def test_pack_rejects_what_cannot_fit(spark):
         P.pack(spark.createDataFrame([(1, 2000)], "item long, size long"), 1000)
 
 
-def test_plan_across_pairs_each_gap_with_smaller_items():
-    items, gaps = P.plan_across({0: 3, 2: 2}, {1: 2, 3: 4})
-    assert items == [(0, 0, 2, 0), (2, 0, 2, 1), (0, 2, 1, 2)] and gaps == [(1, 0, 2, 0), (3, 0, 2, 1), (3, 2, 1, 2)]
+def test_plan_is_best_fit_item_by_item():
+    rng = random.Random(15)
+    for _ in range(60):
+        capacity = rng.randint(5, 60)
+        sizes = [rng.randint(1, capacity) for _ in range(rng.randint(1, 150))]
+        counts = {s: sizes.count(s) for s in set(sizes)}
+        runs, n = P.plan(counts, capacity)
+        load = [0] * n
+        for s, m in counts.items():
+            mine = sorted((r[1:] for r in runs if r[0] == s))
+            for rank in range(m):
+                first, at, each = max(r for r in mine if r[0] <= rank)
+                load[at + (rank - first) // each] += s
+        assert sum(load) == sum(sizes) and max(load) <= capacity and min(load) > 0 and n == best_fit(sizes, capacity)
+
+
+def test_pack_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANGE_ROWS", 20)
+    sizes = [7] * 90 + [0] * 30 + [30, 50, 99, 100] * 5
+    df = spark.createDataFrame(list(enumerate(sizes)), "item long, size long").repartition(5)
+    n = check(list(enumerate(sizes)), [(r.item, r.container) for r in P.pack(df, 100).collect()], 100)
+    assert n == best_fit([s for s in sizes if s], 100)
+    big = spark.createDataFrame([(i, 10**9 // 3) for i in range(9)], "item long, size long")
+    assert check([(i, 10**9 // 3) for i in range(9)], [(r.item, r.container) for r in P.pack(big, 10**9 + 1).collect()], 10**9 + 1) <= 5
 
 
 def test_pack_documents(spark):
