@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import scalars as S
@@ -14,22 +14,26 @@ from lumenfold.operators import duplicates as D
 from lumenfold.runtime import drop_path, hot_join, stage
 
 
-def spread_minimum(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``id``, ``root``: smallest id reachable over the edges (``a``, ``b``), by pointer jumping over minima."""
+def spread_minimum(edges: DataFrame) -> DataFrame:
+    """``id``, ``root``: smallest id reachable over the edges (``a``, ``b``), by pointer jumping over minima.
+
+    Goes on until nothing moves.  Ids with very many edges and roots of very many ids are joined apart from the others.
+    """
     spark = edges.sparkSession
-    both, path = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "spread")
+    both, _ = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "spread")
     cur, cur_path = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "spread")
-    for _ in range(max_rounds):
-        near = both.join(cur.select(F.col("id").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
-        step = cur.join(near, "id").select("id", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved"))
-        jump = step.alias("s").join(step.alias("t"), F.col("s.root") == F.col("t.id"), "left")
-        nxt, nxt_path = stage(jump.select(F.col("s.id").alias("id"), F.least(F.col("s.root"), F.coalesce(F.col("t.root"), F.col("s.root"))).alias("root"), (F.col("s.moved") | (F.col("t.root") < F.col("s.root"))).alias("moved")), "spread")
-        moved = nxt.where("moved").limit(1).count()
-        drop_path(spark, cur_path)
+    while True:
+        near = hot_join(both, cur.select(F.col("id").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
+        step, step_path = stage(cur.join(near, "id").select("id", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved")), "spread")
+        jump = hot_join(step, step.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left")
+        seen = Observation()
+        news = jump.select("id", F.least("root", F.coalesce("top", "root")).alias("root"), (F.col("moved") | F.coalesce(F.col("top") < F.col("root"), F.lit(False))).alias("moved"))
+        nxt, nxt_path = stage(news.observe(seen, F.count_if("moved").alias("moved")), "spread")
+        for p in (cur_path, step_path):
+            drop_path(spark, p)
         cur, cur_path = nxt.select("id", "root"), nxt_path
-        if not moved:
+        if not seen.get["moved"]:
             return cur
-    raise RuntimeError("labels did not settle")
 
 
 def dbscan(ids: DataFrame, pairs: DataFrame, min_points: int, copies: DataFrame | None = None) -> DataFrame:
@@ -96,10 +100,8 @@ def k_medoids(rows: DataFrame, k: int, distance: Callable, max_rounds: int = 10,
         if not medoids:
             break
         got, path = stage(assign(), "medoids")
-        blocks = 8
-        salted = got.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        left = salted.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pair = left.alias("a").join(salted.alias("b"), (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.with") == F.col("b.blk")))
+        left, right = D.in_blocks(got, "cluster", "id")
+        pair = left.alias("a").join(right.alias("b"), (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.meet") == F.col("b.meet")))
         cost = pair.groupBy(F.col("a.cluster").alias("cluster"), F.col("a.id").alias("id")).agg(F.sum(distance(F.col("a.v"), F.col("b.v"))).alias("cost"))
         best = cost.groupBy("cluster").agg(F.min_by("id", F.struct(F.round("cost", 9), F.col("id"))).alias("id"))
         new = [(r.cluster, r.id, r.v) for r in best.join(rows, "id").collect()]  # k rows

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions import blocks as B
 from lumenfold.functions import scalars as S
 from lumenfold.runtime import drop_path, hot_join, stage
 from lumenfold.schema import Policy
@@ -110,37 +111,34 @@ def cover(usable: frozenset[str], weights: dict[str, float], threshold: float) -
     return None if k < 0 else dict.fromkeys(chosen, k)
 
 
-def band_plan(bits: int, rows: int) -> tuple[int, int]:
+#: Work of writing and shuffling one keyed row, in candidate pairs looked at; most keys of a row under one plan.
+ROW_COST, MAX_KEYS = 100, 128
+#: A key held by more rows than this is split by further bits.
+CROWDED = 50_000
+
+
+def band_plan(bits: int, asking: int, answering: int) -> tuple[int, int]:
     """(blocks, equal blocks) with the least expected work for complete search within ``bits``.
 
-    Work: keyed rows, and candidate pairs of evenly spread hashes.
+    Work: keyed rows of both sides, and candidate pairs of evenly spread hashes.  A row never has more than MAX_KEYS keys, or ``bits`` + 1.
     """
     options = []
     for equal in range(1, 5):
         blocks = bits + equal
-        keys = comb(blocks, equal)
-        if blocks > 64 or keys > 3000:
-            continue
-        options.append((keys * (10 * rows + rows * rows / 2 / 2 ** (64 * equal / blocks)), blocks, equal))
+        n = comb(blocks, equal)
+        if blocks <= 64 and (equal == 1 or n <= MAX_KEYS):
+            options.append((n * (ROW_COST * (asking + answering) + asking * answering / 2 ** (64 * equal / blocks)), blocks, equal))
     return min(options)[1:]
 
 
-def band_keys(h: Column, blocks: int, equal: int, tag: int) -> Column:
-    """Array of keys, one for each choice of blocks: a hash of the tag, the chosen bits and their values."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    bits = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
-    masks = [sum(c) for c in combinations(bits, equal)]
-    chosen = F.lit([m - (1 << 64) if m >= 1 << 63 else m for m in masks]).cast("array<bigint>")
-    return F.transform(chosen, lambda m: F.xxhash64(F.lit(tag), m, h.bitwiseAND(m)))
-
-
-def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, float] | None = None) -> DataFrame:
+def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, float] | None = None, crowded: int = CROWDED) -> DataFrame:
     """``id_a`` < ``id_b``, ``similarity`` of all pairs at or above the threshold (> 0).
 
     Complete and without a cross join.  Which hashes both sides have decides which of them must be
-    close in a similar pair; equal bit blocks of those are the join keys, and the exact condition is part of
-    the join, so candidates are never written.  Records with equal hashes meet once: they are collapsed to one representative
-    before the join, and the pairs are put out between representatives (``pairs_of_images`` expands them).
+    close in a similar pair; equal bit blocks of those are the join keys.  The keyed rows hold a class number and one hash, and the
+    distance of that hash is the condition of the join; only the pairs within it are looked at with all their hashes.  Records with equal
+    hashes meet once: they are collapsed to one representative before the join, and the pairs are put out between
+    representatives (``class_members`` tells whom they stand for).
 
     ``fingerprints``: one row an id with ``perceptual_hashes``; rows without any hash match nothing.
     """
@@ -148,40 +146,47 @@ def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, flo
         raise ValueError("the threshold must be positive")
     w = {h: v for h, v in S.weights_or_default(weights).items() if v > 0}
     names = sorted(w)
-    reps, _ = stage(hash_classes(fingerprints, names), "classes")
-    rows = reps.count()
+    spark = fingerprints.sparkSession
+    reps, _ = stage(hash_classes(fingerprints, names).withColumn("c", F.monotonically_increasing_id()), "classes")
     sizes = {r.mask: r["count"] for r in reps.groupBy("mask").count().collect()}  # at most 16
-    masks = list(sizes)
+    masks = sorted(sizes)
     plans: dict[tuple, list] = {}
     covers: dict[frozenset, dict | None] = {}
-    for i, a in enumerate(sorted(masks)):
-        for b in sorted(masks)[i:]:
+    for i, a in enumerate(masks):
+        for b in masks[i:]:
             both = frozenset(n for j, n in enumerate(names) if a & b & (1 << j))
             if both not in covers:
                 covers[both] = cover(both, w, threshold) if both else None
-            if covers[both]:
-                for h, bits in covers[both].items():
-                    plans.setdefault((h, bits), []).append((a, b))
-    if not plans:
-        return fingerprints.sparkSession.createDataFrame([], "id_a string, id_b string, similarity double")
-    # all plans share one join: a key carries its plan, and a table tells which sides a plan is for
+            for h, bits in (covers[both] or {}).items():
+                plans.setdefault((h, bits), []).append((a, b))
     # the rarer mask of a pair asks and the other answers, so that common masks do not meet in plans made for rare ones
-    none = F.array().cast("array<struct<k:bigint,plan:int>>")
-    asks, answers, table = [], [], []
+    asks, answers, most = [], [], []
     for no, ((h, bits), mask_pairs) in enumerate(_merged(plans).items()):
         ordered = {tuple(sorted(pair, key=lambda m: (sizes[m], m))) for pair in mask_pairs}
-        table += [(x // 16, x % 16) in ordered for x in range(256)]
-        keys, plan = F.array_distinct(band_keys(F.col(h), *band_plan(bits, rows), no)), F.lit(no).alias("plan")
-        tagged = F.transform(keys, lambda k: F.struct(k.alias("k"), plan))  # noqa: B023 - called at once
-        for side, out in ((0, asks), (1, answers)):
-            out.append(F.when((F.col(h) != 0) & F.col("mask").isin(sorted({pair[side] for pair in ordered})), tagged).otherwise(none))
-    a, b = (reps.withColumn("e", F.explode(F.concat(*e))).select("*", "e.k", "e.plan").drop("e").alias(n) for n, e in (("a", asks), ("b", answers)))
-    wanted = F.element_at(F.array(*[F.lit(x) for x in table]), F.col("a.plan") * 256 + F.col("a.mask") * 16 + F.col("b.mask") + 1)
-    once = (F.col("a.mask") != F.col("b.mask")) | (F.col("a.id") < F.col("b.id"))
-    sim = S.fingerprint_similarity(lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}"), w)
-    cond = (F.col("a.k") == F.col("b.k")) & once & wanted & (sim >= threshold)
-    out = a.join(b, cond).select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"), sim.alias("similarity"))
-    return out.groupBy("id_a", "id_b").agg(F.first("similarity").alias("similarity"))
+        sides = [sorted({pair[i] for pair in ordered}) for i in (0, 1)]
+        tagged = B.keys(F.col(h), *band_plan(bits, *(sum(sizes[m] for m in side) for side in sides)), F.lit(no))
+        most.append(bits)
+        for side, out in zip(sides, (asks, answers)):
+            keyed = reps.where((F.col(h) != 0) & F.col("mask").isin(side))
+            out.append(keyed.select(F.explode(F.array_distinct(tagged)).alias("k"), "c", F.col("mask").cast("byte").alias("mask"), F.col(h).alias("h"), F.lit(bits).cast("byte").alias("bits")))
+    if not plans:
+        return spark.createDataFrame([], "id_a string, id_b string, similarity double")
+    sides = []
+    for parts in (asks, answers):
+        df = parts[0]
+        for p in parts[1:]:
+            df = df.unionByName(p)
+        sides.append(df)
+    hot = B.crowded(sides[1], crowded)
+    a, b = (B.split_crowded(df, hot, max(most)).alias(n) for n, df in zip("ab", sides))
+    once = (F.col("a.mask") != F.col("b.mask")) | (F.col("a.c") < F.col("b.c"))
+    near = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))) <= F.col("a.bits")
+    found = a.join(b, (F.col("a.k") == F.col("b.k")) & near & once & (F.col("a.c") != F.col("b.c")))
+    found = found.select(F.least("a.c", "b.c").alias("ca"), F.greatest("a.c", "b.c").alias("cb")).distinct()
+    ends = [reps.select(F.col("c").alias(f"c{x}"), *[F.col(n).alias(f"{x}_{n}") for n in ("id", *names)]) for x in "ab"]
+    sim = S.fingerprint_similarity(lambda n: F.col(f"a_{n}"), lambda n: F.col(f"b_{n}"), w)
+    out = hot_join(hot_join(stage(found, "candidates")[0], ends[0], "ca"), ends[1], "cb")
+    return out.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def _merged(plans: dict[tuple, list]) -> dict[tuple, list]:
@@ -271,22 +276,35 @@ def near_groups(fingerprints: DataFrame, threshold: float, weights: dict[str, fl
     return hot_join(named, sizes, "leader")
 
 
-def group_confidence(groups: DataFrame, fingerprints: DataFrame, weights: dict[str, float] | None = None, blocks: int = 8) -> DataFrame:
+#: Members of a group that meet the group in one block.
+BLOCK_ROWS = 2000
+
+
+def in_blocks(rows: DataFrame, group: str, key: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides of a meeting of each group with itself, joined on ``group`` and ``meet``.
+
+    A group is dealt into blocks of about ``block_rows`` rows, and every block meets every block, so that no task holds a group
+    and the number of tasks follows its size.
+    """
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_n"))
+    dealt = hot_join(rows, sizes, group).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    left = dealt.withColumn("_o", every).withColumn("meet", F.col("_b") * F.col("_n") + F.col("_o"))
+    right = dealt.withColumn("_o", every).withColumn("meet", F.col("_o") * F.col("_n") + F.col("_b"))
+    return tuple(x.drop("_n", "_b", "_o") for x in (left, right))
+
+
+def group_confidence(groups: DataFrame, fingerprints: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``leader``, ``confidence``: mean similarity over all pairs of a group, those below the threshold included.
 
-    A group's pairs are met block against block (at most ``blocks`` squared tasks a group) over its
-    distinct hash sets with their numbers of copies; only sums leave the join.
+    A group's distinct hash sets, with their numbers of copies, meet in blocks; only sums leave the join.
     """
     names = sorted(h for h, v in S.weights_or_default(weights).items() if v > 0)
     cols = [F.coalesce(F.col(f"perceptual_hashes.{n}"), F.lit(0)).alias(n) for n in names]
     rows = groups.select("id", "leader").join(fingerprints.select("id", *cols), "id")
-    classes = rows.groupBy("leader", *names).agg(F.count("*").alias("c"), F.min("id").alias("id"))
-    classes = classes.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = classes.withColumn("other", F.explode(every))
-    right = classes.withColumn("mine", F.explode(every))
-    a, b = left.alias("a"), right.alias("b")
-    cond = (F.col("a.leader") == F.col("b.leader")) & (F.col("a.blk") == F.col("b.mine")) & (F.col("a.other") == F.col("b.blk")) & (F.col("a.id") <= F.col("b.id"))
+    classes, _ = stage(rows.groupBy("leader", *names).agg(F.count("*").alias("c"), F.min("id").alias("id")), "confidence")
+    a, b = (x.alias(n) for x, n in zip(in_blocks(classes, "leader", "id", block_rows), "ab"))
+    cond = (F.col("a.leader") == F.col("b.leader")) & (F.col("a.meet") == F.col("b.meet")) & (F.col("a.id") <= F.col("b.id"))
     sim = S.fingerprint_similarity(lambda n: F.col(f"a.{n}"), lambda n: F.col(f"b.{n}"), weights)
     ca, cb = F.col("a.c"), F.col("b.c")
     n = F.when(F.col("a.id") == F.col("b.id"), ca * (ca - 1) / 2).otherwise((ca * cb).cast("double"))

@@ -6,9 +6,11 @@ outlive any executor.  A private folder is set only when the session names none
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders of this process's applications; they go when it ends, or by ``release``.
+_OWNED: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the application's folder below the shared one, which is removed when the process ends."""
+    own = f"{shared_dir(spark)}/lumenfold/{spark.sparkContext.applicationId}"
+    if not _OWNED:
+        atexit.register(release)
+    _OWNED.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release() -> None:
+    """Remove all intermediate tables of this process; plans over them can no longer run."""
+    gateway = SparkContext._gateway
+    while _OWNED:
+        path = _OWNED.pop()
+        try:
+            p = gateway.jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone at the end of the process
+            pass
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
