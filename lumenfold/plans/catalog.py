@@ -11,7 +11,7 @@ from lumenfold.functions import grids as G
 from lumenfold.functions import scalars as S
 from lumenfold.operators import cleanup, clustering, lsh, reports
 from lumenfold.operators import duplicates as D
-from lumenfold.plans import problems
+from lumenfold.plans import pictures, problems
 from lumenfold.runtime import stage, table
 from lumenfold.schema import METRICS, Policy
 from lumenfold.sources import exif as X
@@ -663,8 +663,8 @@ def group_heads(spark, d):
 
 
 def queries() -> dict:
-    return {**_QUERIES, **problems.queries()}
+    return {**_QUERIES, **pictures.queries(), **problems.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, **problems.oracle_sql()}
+    return {**_SQL, **pictures.oracle_sql(), **problems.oracle_sql()}
