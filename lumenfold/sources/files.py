@@ -52,11 +52,16 @@ def glob_for(extensions) -> str:
     return "*.{" + ",".join(one(e) for e in extensions) + "}"
 
 
-def scan_folder(spark: SparkSession, root: str, files: FileFilter | None = None, content: bool = True) -> DataFrame:
-    """``path``, ``size_bytes``, ``modified_at``, ``format`` (and ``content``) of the files below ``root``.
+def escaped(path: str) -> str:
+    """A path that readers take literally, not as a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def scan_folder(spark: SparkSession, root: str | list[str], files: FileFilter | None = None, content: bool = True) -> DataFrame:
+    """``path``, ``size_bytes``, ``modified_at``, ``format`` (and ``content``) of the files below ``root`` (a folder, or a list of files).
 
     The size bound and the columns reach the reader; a missing or non-folder root raises.  Names
-    that start with ``.`` or ``_`` are not listed.  An empty folder gives no row.
+    that start with ``.`` or ``_`` are listed only where they are named themselves.  An empty folder gives no row.
     """
     files = files or FileFilter(SCANNER_FORMATS, max_size=500 * 1024 * 1024)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -72,8 +77,32 @@ def scan_folder(spark: SparkSession, root: str, files: FileFilter | None = None,
 _SOF = re.compile(rb"\xff[\xc0-\xc3\xc5-\xc7\xc9-\xcb\xcd-\xcf]")
 
 
+def _tiff_size(data: bytes) -> tuple[str, int, int] | None:
+    end = {b"II*\0": "<", b"MM\0*": ">"}[data[:4]]
+    at = struct.unpack_from(end + "I", data, 4)[0]
+    found = {}
+    for i in range(struct.unpack_from(end + "H", data, at)[0]):
+        tag, kind = struct.unpack_from(end + "HH", data, at + 2 + 12 * i)
+        if tag in (256, 257):  # width, height
+            found[tag] = struct.unpack_from(end + ("H" if kind == 3 else "I"), data, at + 10 + 12 * i)[0]
+    return ("tiff", found[256], found[257]) if len(found) == 2 else None
+
+
+def _webp_size(data: bytes) -> tuple[str, int, int] | None:
+    kind = data[12:16]
+    if kind == b"VP8X":
+        return "webp", int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
+    if kind == b"VP8L" and data[20] == 0x2F:
+        bits = int.from_bytes(data[21:25], "little")
+        return "webp", (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+    if kind == b"VP8 " and data[23:26] == b"\x9d\x01\x2a":
+        w, h = struct.unpack_from("<HH", data, 26)
+        return "webp", w & 0x3FFF, h & 0x3FFF
+    return None
+
+
 def header_size(data: bytes) -> tuple[str, int, int] | None:
-    """(format, width, height) from the first bytes of png, jpeg, gif, bmp or webp content."""
+    """(format, width, height) from the first bytes of png, jpeg, gif, bmp, webp or tiff content."""
     try:
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             return "png", *struct.unpack(">II", data[16:24])
@@ -82,8 +111,10 @@ def header_size(data: bytes) -> tuple[str, int, int] | None:
         if data[:2] == b"BM":
             w, h = struct.unpack("<ii", data[18:26])
             return "bmp", w, abs(h)
-        if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and data[12:16] == b"VP8X":
-            return "webp", int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
+        if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+            return _webp_size(data)
+        if data[:4] in (b"II*\0", b"MM\0*"):
+            return _tiff_size(data)
         if data[:2] == b"\xff\xd8":
             at = 2
             while at + 9 < len(data):
@@ -93,7 +124,7 @@ def header_size(data: bytes) -> tuple[str, int, int] | None:
                     h, w = struct.unpack(">HH", data[at + 5 : at + 9])
                     return "jpeg", w, h
                 at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
-    except struct.error:
+    except (struct.error, IndexError):
         pass
     return None
 
@@ -101,7 +132,7 @@ def header_size(data: bytes) -> tuple[str, int, int] | None:
 def with_header_size(files: DataFrame, head_bytes: int = 1 << 18) -> DataFrame:
     """Adds nullable ``decoded_format``, ``width``, ``height``, read from the head of ``content`` without pixels.
 
-    Where the segments of a jpeg file go on beyond the head, all of its content is read.
+    Where the segments of a jpeg file, or the directory of a tiff file, lie beyond the head, all of its content is read.
     """
 
     @F.pandas_udf("decoded_format string, width int, height int")
@@ -115,16 +146,18 @@ def with_header_size(files: DataFrame, head_bytes: int = 1 << 18) -> DataFrame:
     def beyond(head):
         import pandas as pd
 
-        return pd.Series([b is not None and bytes(b[:2]) == b"\xff\xd8" and header_size(bytes(b)) is None for b in head], dtype=bool)
+        return pd.Series([b is not None and bytes(b[:2]) in (b"\xff\xd8", b"II", b"MM") and header_size(bytes(b)) is None for b in head], dtype=bool)
 
     head = F.substring("content", 1, head_bytes)
     whole = beyond(F.when(F.length("content") > head_bytes, head))
     return files.withColumn("_head", read(F.when(whole, F.col("content")).otherwise(head))).select("*", "_head.*").drop("_head")
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded pixels below ``root``; undecodable files are rows with a width of -1."""
-    df = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", glob_for(SCANNER_FORMATS)).load(root)
+def read_images(spark: SparkSession, root: str | list[str], files: FileFilter | None = None) -> DataFrame:
+    """Decoded pixels below ``root``; undecodable files are rows with a width of -1. The path part of the filter is applied."""
+    df = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", glob_for((files and files.include) or SCANNER_FORMATS)).load(root)
+    if files:
+        df = df.where(FileFilter(files.include, files.exclude, exclude_dirs=files.exclude_dirs).column(F.col("image.origin"), F.lit(0)))
     return df.select(F.regexp_replace("image.origin", "^file:/*", "/").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
@@ -166,21 +199,29 @@ def measure_images(images: DataFrame, config: EngineConfig | None = None, bins:
     return images.select("path", "width", "height", "channels", "data").mapInArrow(run, kind)
 
 
-def fingerprint_folder(spark: SparkSession, root: str, config: EngineConfig | None = None, files: FileFilter | None = None) -> DataFrame:
-    """The fingerprint record of every decodable image below ``root``; other files are left out.
+#: Formats whose size is known from the header but whose pixels the JVM does not decode.
+UNDECODED = ("webp",)
+
+
+def fingerprint_folder(spark: SparkSession, root: str | list[str], config: EngineConfig | None = None, files: FileFilter | None = None) -> DataFrame:
+    """The fingerprint record of every image below ``root`` (a folder, or a list of files); files that are no images are left out.
 
-    Content is hashed in the JVM; pixels are measured in Arrow batches; both sides meet on the path.
+    Content is hashed in the JVM; pixels are measured in Arrow batches; both sides meet on the path.  Images of a format without a
+    decoder have their size and content hash, hashes of 0 and no measures.
     """
     from lumenfold.sources.exif import with_exif
 
     config = config or EngineConfig()
-    listed = with_exif(scan_folder(spark, root, files or config.file_filter())).withColumn("sha256", F.sha2("content", 256)).drop("content")
+    files = files or config.file_filter()
+    listed = with_header_size(with_exif(scan_folder(spark, root, files))).withColumn("sha256", F.sha2("content", 256)).drop("content")
     if config.compat_exif:
         listed = listed.withColumn("exif", placeholder_exif(F.col("path")))
-    measured = measure_images(read_images(spark, root), config)
-    both = listed.join(measured, "path")
+    measured = measure_images(read_images(spark, root, files), config).withColumnsRenamed({"width": "w", "height": "h"})
+    both = listed.join(measured, "path", "left").where(F.col("w").isNotNull() | F.col("decoded_format").isin(*UNDECODED))
+    both = both.withColumns({"width": F.coalesce("w", "width"), "height": F.coalesce("h", "height")})
     meta = F.struct("path", "size_bytes", "format", "width", "height", "modified_at", "exif", "sha256")
-    cols = [S.image_id(F.col("path")).alias("id"), meta.alias("metadata"), F.col("hashes").alias("perceptual_hashes"), "quality", "color_histogram", "feature_vector", F.current_timestamp().alias("created_at")]
+    hashes = F.coalesce("hashes", F.struct(*[F.lit(0).cast("long").alias(f.name) for f in HASHES]))
+    cols = [S.image_id(F.col("path")).alias("id"), meta.alias("metadata"), hashes.alias("perceptual_hashes"), "quality", "color_histogram", "feature_vector", F.current_timestamp().alias("created_at")]
     return both.select(*cols).to(FINGERPRINT)
 
 

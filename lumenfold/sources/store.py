@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -57,7 +58,8 @@ def select(fingerprints: DataFrame, o: QueryOptions) -> DataFrame:
 def latest(fingerprints: DataFrame, newest: bool = True) -> DataFrame:
     """One row an id: the last (or first) written. Other columns may be null; null ids are left out."""
     at = F.col("created_at").desc_nulls_last() if newest else F.col("created_at").asc_nulls_last()
-    w = Window.partitionBy("id").orderBy(at)
+    ties = [F.xxhash64(*[c for c in fingerprints.columns if c in ("metadata", "perceptual_hashes", "quality")])]  # rows of equal time: the same one always
+    w = Window.partitionBy("id").orderBy(at, *ties)
     return fingerprints.where("id is not null").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -86,74 +88,108 @@ def stats(fingerprints: DataFrame, groups: Column | int = 0, index_bytes: int =
 
 
 class FingerprintStore:
-    """Upserts, lookups and deletes over versioned parquet folders below ``path``.
+    """Upserts, lookups and deletes below ``path``, as a base and the changes since.
 
-    Each change writes a new version and then moves the pointer, so readers and failed jobs
-    never see half a table.
+    A change writes only its own rows (or the ids it deletes) as a segment and then moves the pointer, so readers and failed jobs
+    never see half a table.  Segments are sorted by id over ranges, so a lookup opens the row groups that can hold the id.
+    More than ``max_segments`` segments are merged.  Folders that a merge replaced stay until the next one, so plans over them still run.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, max_segments: int = 16):
+        self.spark, self.path, self.max_segments = spark, path.rstrip("/"), max_segments
 
     def _fs(self, name: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _version(self) -> str | None:
+    def _state(self) -> dict:
+        """``segments`` (name, whether its ids are deleted), oldest first, and the folders that the last merge ``replaced``."""
         p, fs = self._fs("CURRENT")
         if not fs.exists(p):
-            return None
+            return {"segments": [], "replaced": []}
         stream = fs.open(p)
         try:
-            return stream.readUTF()
+            return json.loads(stream.readUTF())
         finally:
             stream.close()
 
-    def _publish(self, df: DataFrame) -> None:
-        old, new = self._version(), f"v-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(f"{self.path}/{new}")
+    def _point(self, state: dict) -> None:
         p, fs = self._fs("CURRENT")
         stream = fs.create(p, True)
-        stream.writeUTF(new)
+        stream.writeUTF(json.dumps(state))
         stream.close()
-        if old:
-            drop_path(self.spark, f"{self.path}/{old}")
+
+    def _write(self, rows: DataFrame, files: int | None = None) -> str:
+        name = f"v-{uuid.uuid4().hex[:12]}"
+        ranged = rows.repartitionByRange(files, "id") if files else rows.repartitionByRange("id")
+        ranged.sortWithinPartitions("id").write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _add(self, rows: DataFrame, deletes: bool) -> None:
+        state = self._state()
+        state["segments"].append([self._write(rows), deletes])
+        self._point(state)
+        if len(state["segments"]) > self.max_segments:
+            self.compact()
+
+    def _read(self, image_id: str | None = None) -> DataFrame:
+        segments = self._state()["segments"]
+        if not segments:
+            return self.spark.createDataFrame([], FINGERPRINT)
+        out = None
+        for no, (name, deletes) in enumerate(segments):
+            df = self.spark.read.schema("id string" if deletes else FINGERPRINT).parquet(f"{self.path}/{name}")
+            if image_id is not None:
+                df = df.where(F.col("id") == image_id)
+            if len(segments) == 1:
+                return df
+            df = df.withColumns({"_no": F.lit(no), "_gone": F.lit(deletes)})
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        w = Window.partitionBy("id").orderBy(F.col("_no").desc())
+        return out.withColumn("_rn", F.row_number().over(w)).where("_rn = 1 and not _gone").select(*FINGERPRINT.names)
 
     def all(self) -> DataFrame:
-        v = self._version()
-        return self.spark.read.schema(FINGERPRINT).parquet(f"{self.path}/{v}") if v else self.spark.createDataFrame([], FINGERPRINT)
+        return self._read()
 
     def save(self, fingerprints: DataFrame) -> None:
         """Insert or replace by id; of rows with one id the last written counts."""
-        new = latest(fingerprints).to(FINGERPRINT)
-        self._publish(self.all().join(new.select("id"), "id", "left_anti").select(*FINGERPRINT.names).unionByName(new))
+        self._add(latest(fingerprints).to(FINGERPRINT), False)
 
     def get(self, image_id: str):
-        row = self.all().where(F.col("id") == image_id).first()
+        row = self._read(image_id).first()
         if row is None:
             raise NotFound(image_id)
         return row
 
+    def find_by_sha256(self, sha: str) -> DataFrame:
+        return find_by_sha256(self.all(), sha)
+
     def delete(self, ids: Sequence[str] | DataFrame) -> None:
         gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
         if not isinstance(ids, DataFrame) and len(ids) == 1:
             self.get(ids[0])
-        self._publish(self.all().join(gone.select("id"), "id", "left_anti").select(*FINGERPRINT.names))
+        self._add(gone.select("id").where("id is not null").distinct(), True)
 
     def query(self, options: QueryOptions) -> DataFrame:
         return select(self.all(), options)
 
     def stats(self, groups: int = 0) -> DataFrame:
-        v = self._version()
         size = 0
-        if v:
-            p, fs = self._fs(v)
-            size = fs.getContentSummary(p).getLength()
+        for name, _ in self._state()["segments"]:
+            p, fs = self._fs(name)
+            size += fs.getContentSummary(p).getLength()
         return stats(self.all(), groups, size)
 
-    def compact(self, files: int = 1) -> None:
-        self._publish(self.all().coalesce(files))
+    def compact(self, files: int | None = None) -> None:
+        """Merge all segments into one, of ``files`` files or as many as the session's shuffles have partitions."""
+        state = self._state()
+        if not state["segments"]:
+            return
+        name = self._write(self.all(), files)
+        self._point({"segments": [[name, False]], "replaced": [n for n, _ in state["segments"]]})
+        for old in state["replaced"]:
+            drop_path(self.spark, f"{self.path}/{old}")
 
     def close(self) -> None:
         self.spark.catalog.clearCache()
