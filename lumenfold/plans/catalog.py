@@ -11,7 +11,7 @@ from lumenfold.functions import grids as G
 from lumenfold.functions import scalars as S
 from lumenfold.operators import cleanup, clustering, lsh, reports
 from lumenfold.operators import duplicates as D
-from lumenfold.plans import pictures, problems
+from lumenfold.plans import pictures, problems, workflows
 from lumenfold.runtime import stage, table
 from lumenfold.schema import METRICS, Policy
 from lumenfold.sources import exif as X
@@ -537,13 +537,14 @@ def quality_tiers(spark, d):
 
 # --- colour ----------------------------------------------------------------------------------------------------
 
-_RGB = "SELECT DISTINCT id, (perceptual_hashes.a_hash & 65535)::INT AS r, (perceptual_hashes.p_hash & 65535)::INT AS g, (perceptual_hashes.d_hash & 65535)::INT AS b FROM fingerprints WHERE perceptual_hashes.a_hash IS NOT NULL AND perceptual_hashes.p_hash IS NOT NULL AND perceptual_hashes.d_hash IS NOT NULL"
+_RGB = f"SELECT path || ':' || (y * 32 + x) AS id, path, (r * 257)::INT AS r, (g * 257)::INT AS g, (b * 257)::INT AS b FROM (WITH {pictures._PX} SELECT * FROM px)"
 
 
 def _colours(spark, d) -> DataFrame:
-    """Three 16-bit channels for every image, taken from its hash bits (a stand-in for pixels, which no table holds)."""
-    h = [F.col(f"perceptual_hashes.{n}").bitwiseAND(F.lit(65535)).cast("int").alias(c) for n, c in (("a_hash", "r"), ("p_hash", "g"), ("d_hash", "b"))]
-    return table(spark, d, "fingerprints").select("id", *h).where("r is not null and g is not null and b is not null").distinct()
+    """Every pixel of the pictures as 16-bit channels."""
+    i = pictures.pictures(spark, d).select("path", F.posexplode(F.expr("transform(sequence(0, 1023), i -> substring(data, 3 * i + 1, 3))")).alias("at", "p"))
+    c = lambda k: (F.conv(F.hex(F.substring("p", k, 1)), 16, 10).cast("int") * 257)
+    return i.select(F.concat_ws(":", "path", F.col("at").cast("string")).alias("id"), "path", c(3).alias("r"), c(2).alias("g"), c(1).alias("b"))
 
 
 @query(
@@ -556,6 +557,14 @@ def rgb_to_hsv(spark, d):
     return rows.select("id", *[F.round(f"c.{k}", 6).alias(k) for k in "hsv"])
 
 
+@query(f"SELECT id, r // 257 AS r, g // 257 AS g, b // 257 AS b FROM ({_RGB})")
+def hsv_round_trip(spark, d):
+    """The pixels again from their hue, saturation and value, as 8-bit channels."""
+    hsv = _colours(spark, d).select("id", S.rgb_to_hsv(F.col("r"), F.col("g"), F.col("b")).alias("c"))
+    rgb = hsv.select("id", S.hsv_to_rgb(F.col("c.h"), F.col("c.s"), F.col("c.v")).alias("c"))
+    return rgb.select("id", *[F.round(F.col(f"c.{k}") / 257).cast("int").alias(k) for k in "rgb"])
+
+
 _LIN = "(CASE WHEN {c} / 65535.0::DOUBLE > 0.04045::DOUBLE THEN pow(({c} / 65535.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) ELSE {c} / 65535.0::DOUBLE / 12.92::DOUBLE END * 100)"
 _CUBE = "(CASE WHEN {t} > 0.008856::DOUBLE THEN pow({t}, 1 / 3.0::DOUBLE) ELSE {t} * 7.787::DOUBLE + 16 / 116.0::DOUBLE END)"
 
@@ -565,22 +574,22 @@ _CUBE = "(CASE WHEN {t} > 0.008856::DOUBLE THEN pow({t}, 1 / 3.0::DOUBLE) ELSE {
     x AS (SELECT id, (r * 0.4124564::DOUBLE + g * 0.3575761::DOUBLE + b * 0.1804375::DOUBLE) / 95.047::DOUBLE AS x, (r * 0.2126729::DOUBLE + g * 0.7151522::DOUBLE + b * 0.0721750::DOUBLE) / 100 AS y,
       (r * 0.0193339::DOUBLE + g * 0.1191920::DOUBLE + b * 0.9503041::DOUBLE) / 108.883::DOUBLE AS z FROM l),
     f AS (SELECT id, {_CUBE.format(t="x")} AS x, {_CUBE.format(t="y")} AS y, {_CUBE.format(t="z")} AS z FROM x), q AS (SELECT id, 116 * y - 16 AS l, 500 * (x - y) AS a, 200 * (y - z) AS b FROM f)
-    SELECT id, round(l, 4) AS l, round(a, 4) AS a, round(b, 4) AS b, round(sqrt((l - 100) ** 2 + a ** 2 + b ** 2), 4) AS from_white, sqrt((l - 100) ** 2 + a ** 2 + b ** 2) <= 60 AS light FROM q"""
+    SELECT id, round(l, 4) + 0 AS l, round(a, 4) + 0 AS a, round(b, 4) + 0 AS b, round(sqrt((l - 100) ** 2 + a ** 2 + b ** 2), 4) AS from_white, sqrt((l - 100) ** 2 + a ** 2 + b ** 2) <= 60 AS light FROM q"""
 )
 def rgb_to_lab(spark, d):
     rows = _colours(spark, d).select("id", S.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("c"))
     white = F.struct(F.lit(100.0).alias("l"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
     e = S.delta_e(F.col("c"), white)
-    return rows.select("id", *[F.round(f"c.{k}", 4).alias(k) for k in "lab"], F.round(e, 4).alias("from_white"), (e <= 60).alias("light"))
+    return rows.select("id", *[(F.round(f"c.{k}", 4) + F.lit(0.0)).alias(k) for k in "lab"], F.round(e, 4).alias("from_white"), (e <= 60).alias("light"))
 
 
 @query(
-    f"""WITH c AS ({_RGB}), s AS (SELECT substr(id, 5, 2) AS part, sum(r)::DOUBLE / sum(b) AS x, sum(b) AS b FROM c GROUP BY 1)
+    f"""WITH c AS ({_RGB}), s AS (SELECT path AS part, sum(r)::DOUBLE / sum(b) AS x, sum(b) AS b FROM c GROUP BY 1)
     SELECT part, CASE WHEN x > 1.2::DOUBLE THEN 'warm' WHEN x < 0.8::DOUBLE THEN 'cool' ELSE 'neutral' END AS kind,
       round(CASE WHEN x > 1.2::DOUBLE THEN least((x - 1.2::DOUBLE) / 0.8::DOUBLE, 1) WHEN x < 0.8::DOUBLE THEN (0.8::DOUBLE - x) / 0.8::DOUBLE ELSE 0 END, 6) AS strength FROM s WHERE b <> 0"""
 )
 def color_temperature(spark, d):
-    s = _colours(spark, d).groupBy(F.substring("id", 5, 2).alias("part")).agg(F.sum("r").alias("r"), F.sum("b").alias("b")).where("b <> 0")
+    s = _colours(spark, d).groupBy(F.col("path").alias("part")).agg(F.sum("r").alias("r"), F.sum("b").alias("b")).where("b <> 0")
     return s.select("part", S.temperature(F.col("r"), F.col("b")).alias("t")).select("part", "t.kind", F.round("t.strength", 6).alias("strength"))
 
 
@@ -605,11 +614,32 @@ def exact_clean_plan(spark, d):
     return cleanup.with_destinations(rows, o)
 
 
-@query()
+_REST = f"""{FP.replace("fp AS", "every AS", 1)}, ex AS (SELECT *, metadata.sha256 AS sha, count(*) OVER (PARTITION BY metadata.sha256) AS n FROM every WHERE metadata.sha256 IS NOT NULL QUALIFY n > 1),
+xb AS (SELECT sha, id AS main_image FROM ex QUALIFY row_number() OVER (PARTITION BY sha ORDER BY {_SCORE} DESC NULLS LAST, id) = 1),
+xg AS (SELECT 'exact_' || row_number() OVER (ORDER BY first) AS group_id, sha, main_image FROM (SELECT sha, min(id) AS first FROM ex GROUP BY 1) JOIN xb USING (sha)),
+xc AS (SELECT ex.id, group_id, 'exact' AS reason FROM ex JOIN xg USING (sha) WHERE ex.id <> main_image),
+fp AS (SELECT * FROM every WHERE id NOT IN (SELECT id FROM xc))"""
+
+
+@query(
+    rf"""WITH RECURSIVE {_GREEDY.replace(FP, _REST, 1)}, nb AS (SELECT leader, id AS main_image FROM ng JOIN fp USING (id) QUALIFY row_number() OVER (PARTITION BY leader ORDER BY {_SCORE} DESC NULLS LAST, id) = 1),
+    nn AS (SELECT 'near_' || row_number() OVER (ORDER BY leader) AS group_id, leader, main_image FROM nb),
+    pl AS (SELECT * FROM xc UNION ALL SELECT ng.id, group_id, 'near' FROM ng JOIN nn USING (leader) WHERE ng.id <> main_image),
+    r AS (SELECT pl.*, metadata.path AS src, coalesce(metadata.size_bytes, 0) AS size_bytes, 'out/' || group_id || '/' || regexp_extract(metadata.path, '([^/]*)/*$', 1) AS dest FROM pl JOIN every USING (id)
+      WHERE reason = 'exact' OR coalesce({_SCORE}, -1) >= 50)
+    SELECT id, group_id, reason, src, size_bytes, CASE WHEN k = 0 THEN dest ELSE regexp_replace(dest, '(\.[^./]*)$', '') || '_' || k || regexp_extract(dest, '(\.[^./]*)$', 1) END AS dst, 'move' AS action
+    FROM (SELECT *, row_number() OVER (PARTITION BY dest ORDER BY id) - 1 AS k FROM r)"""
+)
 def clean_plan_quality_gate(spark, d):
     return cleanup.clean_plan(images(spark, d), cleanup.CleanOptions(threshold=NEAR, min_quality=50.0, output="out"))
 
 
+@query(f"SELECT id, false AS done, dst, NULL::VARCHAR AS error FROM ({_SQL['exact_clean_plan']})")
+def clean_dry_run(spark, d):
+    """What an application would do, without touching a file."""
+    return cleanup.apply_plan(exact_clean_plan(spark, d), dry_run=True)
+
+
 @query(
     f"""WITH {_EXACT}, best AS (SELECT sha, id FROM ex QUALIFY row_number() OVER (PARTITION BY sha ORDER BY {_SCORE} DESC NULLS LAST, id) = 1),
     s AS (SELECT count(*) AS files, coalesce(sum(coalesce(metadata.size_bytes, 0)), 0)::BIGINT AS b FROM ex WHERE id NOT IN (SELECT id FROM best))
@@ -663,8 +693,8 @@ def group_heads(spark, d):
 
 
 def queries() -> dict:
-    return {**_QUERIES, **pictures.queries(), **problems.queries()}
+    return {**_QUERIES, **pictures.queries(), **workflows.queries(), **problems.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, **pictures.oracle_sql(), **problems.oracle_sql()}
+    return {**_SQL, **pictures.oracle_sql(), **workflows.oracle_sql(), **problems.oracle_sql()}
