@@ -150,24 +150,40 @@ def test_batches_against_force(spark):
 
 
 def test_history_by_batches_and_compaction(spark):
-    """Batch after batch gives what one run over all gives; compaction changes nothing."""
+    """Each batch finds what came before it, by force; merged and reopened runs give the same."""
     rng = random.Random(10)
     hashes = [signed(rng.getrandbits(64)) for _ in range(40)]
-    index = H.HashHistory(spark, max_runs=2)
-    found = []
+    index, before = H.HashHistory(spark, crowded=3), set()
     for b in range(5):
-        batch = [h ^ (1 << rng.randrange(60)) for h in rng.sample(hashes, 10)] + hashes[b * 8 : b * 8 + 8]
-        df = spark.createDataFrame([(h, b) for h in set(batch)], "h long, batch int")
-        if index.runs:
-            found += [(b, r.h, r.first_batch) for r in index.first_seen(df.select("h")).collect()]
-        index.append(df)
-    assert len(index.runs) <= 3 and found and all(first < b for b, _, first in found)
-    before = {(r.h, r.first_batch) for r in index.first_seen(df.select("h")).collect()}
+        batch = {h ^ (1 << rng.randrange(60)) for h in rng.sample(hashes, 10)} | set(hashes[b * 8 : b * 8 + 8])
+        shas = {bytes([b, i % 3]) for i in range(6)} | {b"again"}
+        found = index.take(spark.createDataFrame([(bytearray(x),) for x in shas], "sha binary"), spark.createDataFrame([(h,) for h in batch], "h long")).collect()
+        near = {h for h in batch if any(((h ^ x) & (2**64 - 1)).bit_count() <= 3 for x in before)}
+        assert {r.h for r in found if r.h is not None} == near and {r.h for r in found if r.h is not None and r.same} == near & before
+        assert [bytes(r.sha) for r in found if r.sha is not None] == [b"again"] * (b > 0)
+        before |= batch
+    assert all(1 <= len(runs) <= 3 and sum(r["rows"] for r in runs) == n for runs, n in ((index.runs["hash"], len(before)), (index.runs["sha"], 16)))
+    probe = spark.createDataFrame([(h,) for h in sorted(batch)], "h long"), spark.createDataFrame([(bytearray(b"again"),)], "sha binary")
     index.compact()
-    assert len(index.runs) == 1
-    for r in index.runs:
-        spark.sql(f"DROP TABLE {r}")  # as a new session has it
+    assert [len(r) for r in index.runs.values()] == [1, 1]
+    for runs in index.runs.values():
+        spark.sql(f"DROP TABLE {runs[0]['name']}")  # as a new session has it
     again = H.HashHistory(spark, index.path)
-    assert again.runs == index.runs and {(r.h, r.first_batch) for r in again.first_seen(df.select("h")).collect()} == before
+    assert again.runs == index.runs and {r.h for r in again.match(probe[1], probe[0]).collect() if r.h is not None} == batch
     with pytest.raises(ValueError):
-        index.first_seen(df.select("h"), 9)
+        index.match(probe[1], probe[0], 9)
+    again.drop()
+
+
+def test_crowded_windows_are_parted(spark):
+    """Hashes that share whole blocks stay complete when their windows are parted, twice over."""
+    rng = random.Random(11)
+    base = signed(rng.getrandbits(64))
+    hashes = sorted({base ^ rng.getrandbits(16) for _ in range(400)})
+    index = H.HashHistory(spark, crowded=40)
+    index.append(None, spark.createDataFrame([(h,) for h in hashes[::2]], "h long"))
+    assert index.runs["hash"][0]["parted"]
+    new = hashes[1::2]
+    got = {r.h for r in index.match(spark.createDataFrame([], "sha binary"), spark.createDataFrame([(h,) for h in new], "h long")).collect()}
+    assert got == {h for h in new if any(((h ^ x) & (2**64 - 1)).bit_count() <= 3 for x in hashes[::2])}
+    index.drop()
