@@ -1,14 +1,15 @@
 """Problem 5: most similar vectors for every vector, by collision-counting hashing.
 
 Query-aware collision counting (C2LSH, QALSH): every vector is projected on ``PROJECTIONS`` random
-directions; a pair collides in a projection when it falls into the window centred on the query; pairs that
-collide in at least ``THRESHOLD`` of the projections are verified by their exact cosine.
-Windows widen by virtual rehashing (bucket numbers are compared at doubled reach) until a query
-has its ``k`` neighbours or the reach covers the radius of the smallest similarity asked for.
+directions, each with a sorted array of its own; a pair collides in a projection when it falls into the window of the sorted array that is
+centred on the query; pairs that collide in at least ``THRESHOLD`` of the projections are verified by their exact cosine.
+Windows widen by virtual rehashing (doubled reach) until a query has its ``k`` neighbours or the reach covers the radius of
+the smallest similarity asked for.  Windows are found in the sorted arrays by binary search; as they hold a good part of a cell in the end,
+collisions are counted by comparing ranks with the windows' ends, for many queries at once.
 
 Sorted arrays over the whole collection would give every window a fixed share of all rows, so the
-arrays are kept per cell (nearest pivots, overlapping), which bounds a window by the cell.  Exact copies
-of a vector are collapsed before and expanded after the search: only each copy group's ``k + 2``
+arrays are kept per cell (nearest pivots of the reduced vectors, overlapping), which bounds a window by the cell; crowded cells are
+cut again.  Copies of one direction are collapsed before and expanded after the search: only each copy group's ``k + 2``
 smallest ids can be among anyone's ``k`` nearest, and these travel with the vector.
 """
 
@@ -21,64 +22,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.vectors import nearest_cells, packed, pivots, unit_rows, unpack_rows
-from lumenfold.runtime import stage
+from lumenfold.llm.vectors import Cells, fit_cells, packed, partitions, parts, unit_rows, unpack_rows
+from lumenfold.runtime import hot_join, stage, width
 
 PROJECTIONS, THRESHOLD = 16, 13
-#: Half a window, in standard deviations of a projected pair at the radius; buckets in it at full reach; reaches tried.
-REACH_SD, REACH_BUCKETS, REACHES = 2.0, 16, (8, 16)
-OVERLAP = 3
-#: Bucket numbers are cut off here, so that differences modulo 256 of far buckets stay beyond every reach.
-CUT = 127 - REACH_BUCKETS
+#: Half a window, in standard deviations of a projected pair at the radius; shares of it that are tried one after the other.
+REACH_SD, REACHES = 2.0, (0.25, 0.5, 1.0)
+#: Cells a vector lies in, cells it asks in, and rows aimed at in a cell.
+OVERLAP, ASKS, CELL_ROWS = 3, 2, 300
+#: Queries whose collisions are counted at once.
+BLOCK = 128
 
 
-def bucket_numbers(u: np.ndarray, radius: float, seed: int = 11) -> np.ndarray:
-    """Bucket number of each row in each projection, cut off at both ends."""
-    rng = np.random.default_rng(seed)
-    a = rng.standard_normal((u.shape[1], PROJECTIONS))
-    h = (u - u.mean(0)) @ a
-    width = REACH_SD * radius / REACH_BUCKETS
-    return np.clip(np.floor(h / width), -CUT, CUT).astype(np.int16)
-
-
-def cell_pairs(u: np.ndarray, least: float, k: int, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, other, cosine) of verified pairs in one cell; every row is a query once.
+def cell_pairs(u: np.ndarray, least: float, k: int, copies: np.ndarray, asks: np.ndarray | None = None, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, other, cosine) of verified pairs in one cell; every row that asks is a query once.
 
     ``copies``: ids a row stands for.  A query stops widening when rows standing for ``k`` other ids are
     verified within the reach; no partner is dropped at the reach that is asked last.
     """
     n = len(u)
     radius = float(np.sqrt(2 - 2 * least))
-    b = bucket_numbers(u, radius)
-    order = np.argsort(b[:, 0], kind="stable")  # the first sorted array; the others are counted within its window
-    b = b[order]
-    x = u[order]
-    weight = copies[order]
-    first = b[:, 0].copy()
-    # bytes suffice for the other arrays (see CUT)
-    rest = np.ascontiguousarray(b[:, 1:].T.astype(np.int8)).view(np.uint8)
+    a = np.random.default_rng(seed).standard_normal((u.shape[1], PROJECTIONS))
+    h = (u - u.mean(0)) @ a
+    order = np.argsort(h[:, 0], kind="stable")  # rows in the order of the first array, so that a block of queries has its windows near each other
+    h, x, weight = h[order], u[order], copies[order]
+    arrays = np.sort(h, axis=0)
+    kind = np.uint16 if n < 1 << 16 else np.uint32
+    rank = np.empty((PROJECTIONS, n), kind)
+    for p in range(PROJECTIONS):
+        rank[p, np.argsort(h[:, p], kind="stable")] = np.arange(n)
     out_q, out_o, out_s = [], [], []
-    active = np.arange(n)
+    active = np.arange(n) if asks is None else np.flatnonzero(asks[order])
     for reach in REACHES:
         if not len(active):
             break
-        final = reach == REACHES[-1]
-        limit = 1 - (radius * reach / REACH_BUCKETS) ** 2 / 2
+        final, half = reach == REACHES[-1], REACH_SD * radius * reach
+        limit = 1 - (radius * reach) ** 2 / 2
+        first = np.stack([np.searchsorted(arrays[:, p], h[active, p] - half, "left") for p in range(PROJECTIONS)]).astype(kind)
+        last = np.stack([np.searchsorted(arrays[:, p], h[active, p] + half, "right") for p in range(PROJECTIONS)]).astype(kind)
+        span = last - first
+        # half as wide again in the first array, lest a pair be lost that misses this one window but few others
+        begin = np.searchsorted(arrays[:, 0], h[active, 0] - 1.5 * half, "left")
+        end = np.searchsorted(arrays[:, 0], h[active, 0] + 1.5 * half, "right")
         keep = []
-        for s in range(0, len(active), 128):
-            q = active[s : s + 128]
-            # half as wide again, lest a pair be lost that misses this one window but few others
-            lo = np.searchsorted(first, first[q[0]] - 3 * reach // 2, "left")
-            hi = np.searchsorted(first, first[q[-1]] + 3 * reach // 2, "right")
-            count = (np.abs(first[q][:, None] - first[None, lo:hi]) <= reach).astype(np.uint8)
-            for p in range(PROJECTIONS - 1):
-                d = rest[p, q][:, None] - rest[p, None, lo:hi]
-                d += np.uint8(reach)
-                count += d <= np.uint8(2 * reach)
+        for s in range(0, len(active), BLOCK):
+            q = active[s : s + BLOCK]
+            lo, hi = int(begin[s]), int(end[s + len(q) - 1])
+            count = np.zeros((len(q), hi - lo), np.uint8)
+            apart, inside = np.empty(count.shape, kind), np.empty(count.shape, bool)
+            for p in range(PROJECTIONS):
+                # a rank before the window wraps round and is far behind it
+                np.subtract(rank[p, None, lo:hi], first[p, s : s + BLOCK, None], out=apart)
+                np.less(apart, span[p, s : s + BLOCK, None], out=inside)
+                count += inside.view(np.uint8)
             qi, oi = np.nonzero(count >= THRESHOLD)
             oi = oi + lo
-            apart = q[qi] != oi
-            qi, oi = qi[apart], oi[apart]
+            other = q[qi] != oi
+            qi, oi = qi[other], oi[other]
             sim = np.einsum("ij,ij->i", x[q[qi]], x[oi])
             ok = sim >= (least if final else max(least, limit))
             qi, oi, sim = qi[ok], oi[ok], sim[ok]
@@ -97,20 +97,20 @@ def cell_pairs(u: np.ndarray, least: float, k: int, copies: np.ndarray) -> tuple
     return order[np.concatenate(out_q)], order[np.concatenate(out_o)], np.concatenate(out_s)
 
 
-def _cells(rows: DataFrame, piv: dict[int, np.ndarray], overlap: int) -> DataFrame:
+def _cells(rows: DataFrame, cells: dict[int, Cells], overlap: int, asks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fields = b.column(0).to_numpy()
-            for field, p in piv.items():
+            for field, c in cells.items():
                 at = np.flatnonzero(fields == field)
                 if not len(at):
                     continue
                 part = b.take(pa.array(at))
-                cells = nearest_cells(unit_rows(unpack_rows(part.column(2).to_pylist(), p.shape[1])), p, overlap)
-                for j in range(cells.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[:, j]), *part.columns], names=["cell", "field", "vh", "vec", "ids"])
+                near = c.nearest(unit_rows(unpack_rows(part.column(2).to_pylist(), c.dim)), overlap)
+                for j in range(near.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(near[:, j]), pa.array(np.full(len(at), j < asks)), *part.columns], names=["cell", "asks", "field", "vh", "vec", "ids"])
 
-    return rows.select("field", "vh", "vec", "ids").mapInArrow(run, "cell int, field int, vh long, vec binary, ids array<string>")
+    return rows.select("field", "vh", "vec", "ids").mapInArrow(run, "cell int, asks boolean, field int, vh long, vec binary, ids array<string>")
 
 
 def similar_pairs(images: DataFrame, fields: dict[str, int], id_col: str = "id", least: float = 0.985, k: int = 5, overlap: int = OVERLAP) -> DataFrame:
@@ -120,10 +120,10 @@ def similar_pairs(images: DataFrame, fields: dict[str, int], id_col: str = "id",
     an id written twice counts once; empty tables give an empty result.
     """
     names = list(fields)
-    piv = {no: pivots(images, id_col, f, fields[f]) for no, f in enumerate(names)}
-    piv = {no: p for no, p in piv.items() if len(p)}
+    cells = {no: fit_cells(images, id_col, f, fields[f], CELL_ROWS) for no, f in enumerate(names)}
+    cells = {no: c for no, c in cells.items() if c is not None}
     spark = images.sparkSession
-    if not piv:
+    if not cells:
         return spark.createDataFrame([], "vector_field string, id_a string, id_b string")
     top = k + 2
 
@@ -131,22 +131,30 @@ def similar_pairs(images: DataFrame, fields: dict[str, int], id_col: str = "id",
     # the window keeps at most top ids a vector on the map side, however many copies there are
     w = Window.partitionBy("field", "vh").orderBy("id")
     few = flat.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= top)
-    vectors = few.groupBy("field", "vh").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
-    dims = {no: p.shape[1] for no, p in piv.items()}
+    vectors = few.groupBy("field", "vh").agg(F.min("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
+    dims = {no: c.dim for no, c in cells.items()}
 
     def search(t: pa.Table) -> pa.Table:
         field = t.column("field")[0].as_py()
         u = unit_rows(unpack_rows(t.column("vec").to_pylist(), dims[field]))
         ids = t.column("ids").to_pylist()
         copies = np.fromiter(map(len, ids), int, len(ids))
-        q, o, s = cell_pairs(u, least, k, copies)
-        s = np.round(s, 10)
+        asking = t.column("asks").to_numpy(zero_copy_only=False)
+        got = [[], [], []]
+        for rows, own in parts(u, overlap, ASKS, CELL_ROWS):
+            a, b, c = cell_pairs(u[rows], least, k, copies[rows], own & asking[rows])
+            for x, v in zip(got, (rows[a], rows[b], np.round(c, 10))):
+                x.append(v)
+        q, o, s = (np.concatenate(x) for x in got)
+        if len(u) and len(got[0]) > 1:  # parts overlap
+            _, once = np.unique(q.astype(np.int64) * len(u) + o, return_index=True)
+            q, o, s = q[once], o[once], s[once]
         vh = t.column("vh").to_numpy()
         out_vh, out_id, out_sim, out_own = [], [], [], []
         by = np.argsort(q, kind="stable")
         q, o, s = q[by], o[by], s[by]
         ends = np.searchsorted(q, np.arange(len(u) + 1))
-        for i in np.flatnonzero((np.diff(ends) > 0) | (copies > 1)):
+        for i in np.flatnonzero(((np.diff(ends) > 0) | (copies > 1)) & asking):
             a, z = ends[i], ends[i + 1]
             near = [(-1.0, x) for x in ids[i]]
             if copies[i] <= k:
@@ -170,7 +178,8 @@ def similar_pairs(images: DataFrame, fields: dict[str, int], id_col: str = "id",
             {"field": pa.array(np.full(len(out_vh), field, np.int32)), "vh": pa.array(out_vh, pa.int64()), "id": pa.array(out_id, pa.string()), "sim": pa.array(out_sim, pa.float64()), "own": pa.array(out_own, pa.bool_())}
         )
 
-    found = _cells(vectors, piv, overlap).groupBy("field", "cell").applyInArrow(search, "field int, vh long, id string, sim double, own boolean")
+    n = partitions(list(cells.values()), overlap, width(spark))
+    found = _cells(vectors, cells, overlap, ASKS).repartition(n, "field", "cell").groupBy("field", "cell").applyInArrow(search, "field int, vh long, id string, sim double, own boolean")
     found, _ = stage(found.distinct(), "p5-found")
     # nearest k + 1 ids of a vector, its own included: whichever member asks, k others remain
     wn = Window.partitionBy("field", "vh").orderBy(F.col("sim").desc(), "id")
@@ -179,16 +188,14 @@ def similar_pairs(images: DataFrame, fields: dict[str, int], id_col: str = "id",
     own = found.where("own").groupBy("field", "vh").agg(F.collect_set("id").alias("ids")).withColumn("n", F.size("ids"))
     lists = near.join(own, ["field", "vh"])
     few_copies = lists.where(F.col("n") < top).select("field", F.explode("ids").alias("me"), "near")
-    many = lists.where(F.col("n") >= top).select("field", "vh", "near")
+    many = lists.where(F.col("n") >= top).select(F.xxhash64("field", "vh").alias("key"), F.col("field").alias("f"), F.col("vh").alias("v"), "near")
     # copy groups beyond the ids that travelled: their members are read again
-    codes = [r.vh for r in many.select("vh").limit(1).collect()]
+    codes = many.limit(1).count()
     members = few_copies
     if codes:
-        again = packed(images, id_col, fields).select("field", "vh", "id")
-        salt = 16
-        salted = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        again = again.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
-        members = members.unionByName(again.join(salted, ["field", "vh", "salt"]).select("field", F.col("id").alias("me"), "near"))
+        again = packed(images, id_col, fields).select("field", "id", "vh", F.xxhash64("field", "vh").alias("key"))
+        found_again = hot_join(again, many, "key").where((F.col("field") == F.col("f")) & (F.col("vh") == F.col("v")))
+        members = members.unionByName(found_again.select("field", F.col("id").alias("me"), "near"))
     others = F.slice(F.filter("near", lambda x: x.id != F.col("me")), 1, k)
     pairs = members.select("field", "me", F.explode(others).alias("x")).select("field", F.least("me", "x.id").alias("id_a"), F.greatest("me", "x.id").alias("id_b")).distinct()
     label = F.element_at(F.array(*[F.lit(f) for f in names]), F.col("field") + 1)

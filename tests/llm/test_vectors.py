@@ -116,6 +116,56 @@ def test_sparse_fields_keep_their_vectors(spark):
     near = unit(rng, 1, 8)[0] + rng.standard_normal((6, 8)) * 0.001
     rows = [(f"r{i:04d}", near[i // 500].tolist() if i % 500 == 0 else [None, [0.0] * 8, [float("nan")] * 8, [1.0] * 7, [1.0, None] * 4][i % 5]) for i in range(3000)]
     df = spark.createDataFrame(rows, "id string, vec array<double>")
-    assert len(V.pivots(df, "id", "vec", 8)) == 1 and len(V.pivots(df.where("id like '%1'"), "id", "vec", 8)) == 0
+    assert len(V.fit_cells(df, "id", "vec", 8)) == 1 and V.fit_cells(df.where("id like '%1'"), "id", "vec", 8) is None
     assert N.similar_pairs(df, {"vec": 8}).count() > 0
     assert {r.image_id for r in C.image_clusters(df, vec_col="vec", dim=8).collect()} == {f"r{i:04d}" for i in range(0, 3000, 500)}
+
+
+def test_cells_of_two_levels_agree_with_flat_ones(monkeypatch):
+    rng = np.random.default_rng(12)
+    u = unit(rng, 40, 20)[rng.integers(0, 40, 6000)] + rng.standard_normal((6000, 20)) * 0.05
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    flat = V.Cells(u, 500)
+    monkeypatch.setattr(V, "FLAT_PIVOTS", 100)
+    deep = V.Cells(u, 500)
+    assert deep.upper is not None and len(deep) == len(flat) == 500
+    a, b = flat.nearest(u, 3), deep.nearest(u, 3)
+    assert (a[:, 0] == b[:, 0]).mean() > 0.97 and (a == b).mean() > 0.95 and (b >= 0).all()
+
+
+def test_crowded_cells_are_cut_again():
+    rng = np.random.default_rng(13)
+    u = unit(rng, 30, 16)[rng.integers(0, 30, 3000)] + rng.standard_normal((3000, 16)) * 0.02
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    got = V.parts(u, 3, 2, 100, 500)
+    assert len(got) > 5 and max(len(r) for r, _ in got) < 3000
+    asks = np.zeros(3000, int)
+    for rows, own in got:
+        asks[rows[own]] += 1
+    assert (asks >= 1).all()
+    s = u @ u.T
+    i, j = np.nonzero(np.triu(s >= 0.99, 1))
+    met = set()
+    for rows, own in got:
+        inside = np.zeros(3000, bool)
+        inside[rows] = True
+        met |= set(np.flatnonzero(inside[i] & inside[j]).tolist())
+    assert len(met) > 0.99 * len(i)
+    alike = np.repeat(u[:1], 700, 0)
+    assert len(V.parts(alike, 3, 2, 100, 500)) == 1
+
+
+def test_directions_are_collapsed():
+    rng = np.random.default_rng(14)
+    m = rng.standard_normal((50, 52)).astype(np.float32)
+    n = V.direction_numbers(V.unit_rows(m.astype(float)))
+    assert (n == V.direction_numbers(V.unit_rows((m * np.float32(3.7)).astype(float)))).mean() > 0.9 and len(set(n.tolist())) == 50
+
+
+def test_clusters_are_compared_across_their_parts(spark):
+    rng = np.random.default_rng(15)
+    a, b = unit(rng, 2, 8)
+    rows = [(1, i, a) for i in range(7)] + [(2, 10 + i, a) for i in range(3)] + [(2, 20, b)]
+    df = spark.createDataFrame([(k, h, bytearray(v.astype(np.float64).tobytes())) for k, h, v in rows], "label long, vh long, vec binary")
+    for block in (100, 2):
+        assert [r.label for r in C.broken_labels(df, 8, 0.83, block).collect()] == [2]
