@@ -4,7 +4,8 @@ Voronoi cells around pivots; every site (a centre with a radius, or a region's r
 is copied to each cell its circle can reach.  By the triangle inequality a point within ``r`` of a site
 lies in a cell whose pivot is at most ``2 r`` farther from the site than the site's own pivot, so no
 match is lost.  Each cell is then searched with a vantage-point tree over its points, using the
-great-circle distance; crowded cells are split, and their sites copied to every part.
+great-circle distance.  Crowded cells are cut by pivots of their own, to which the same inequality applies; only what no pivot
+parts (points of one place) is dealt by hash, with its sites copied to every part.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 EARTH_M = 6_371_008.8
 #: Most pivots, points in one part of a cell, points in a leaf of the tree.
 MAX_PIVOTS, PART_ROWS, LEAF = 256, 50_000, 256
+#: Most pivots within crowded cells, all cells together.
+MAX_INNER = 65_536
 #: Slack in metres against rounding where cells and tree branches are left out.
 SLACK_M = 0.01
 
@@ -153,6 +156,28 @@ def _nearest(xyz: np.ndarray, piv: np.ndarray) -> np.ndarray:
     return out
 
 
+def _inner_pivots(placed: DataFrame, crowded: dict[int, int], part_rows: int) -> dict[int, np.ndarray]:
+    """Pivots within crowded cells (cell -> points), about one for ``part_rows`` points, from a bounded sample by hash order."""
+    total = sum(crowded.values())
+    if not total:
+        return {}
+    want = {c: -(-n // part_rows) for c, n in crowded.items()}
+    scale = min(1.0, MAX_INNER / sum(want.values()))
+    h = F.pmod(F.xxhash64("key", "lat", "lon", F.lit(5)), F.lit(1 << 30))
+    draw = 8 * sum(want.values()) * scale
+    rows = placed.where(F.col("cell").isin(list(crowded))).select("cell", "lat", "lon", h.alias("h")).where(F.col("h") < int((1 << 30) * min(1.0, draw / total)) + 1)
+    out: dict[int, list] = {}
+    for r in rows.orderBy("h").limit(int(2 * draw) + 64).collect():
+        out.setdefault(r.cell, []).append((r.lat, r.lon))
+    pivots = {}
+    for c, at in out.items():
+        xyz = to_xyz(*np.array(at).T)
+        _, first = np.unique(np.round(xyz, 9), axis=0, return_index=True)
+        pivots[c] = xyz[np.sort(first)][: max(1, int(want[c] * scale))]
+    # a crowded cell of which nothing was drawn is dealt by hash around one pivot
+    return pivots | {c: np.array([[1.0, 0.0, 0.0]]) for c in crowded if c not in pivots}
+
+
 def near_or_inside(points: DataFrame, sites: DataFrame, max_pivots: int = MAX_PIVOTS, part_rows: int = PART_ROWS) -> DataFrame:
     """``key``, ``site``: every point within a circle site's radius or enclosed by a ring site.
 
@@ -171,11 +196,32 @@ def near_or_inside(points: DataFrame, sites: DataFrame, max_pivots: int = MAX_PI
             yield pa.RecordBatch.from_arrays([pa.array(_nearest(to_xyz(la, lo), piv)), *b.columns], names=["cell", "key", "lat", "lon"])
 
     placed = points.select("key", "lat", "lon").mapInArrow(to_cell, "cell int, key string, lat double, lon double")
-    # at most max_pivots rows: how many parts each cell needs
-    parts = {r.cell: -(-r["count"] // part_rows) for r in placed.groupBy("cell").count().collect()}
-    split = np.array([parts.get(i, 0) for i in range(len(piv))], np.int32)
-    most = F.element_at(F.array(*[F.lit(int(max(1, x))) for x in split]), F.col("cell") + 1)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("key", "lat", "lon"), most).cast("int"))
+    # at most max_pivots rows: which cells are crowded
+    counts = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}
+    inner = _inner_pivots(placed, {c: n for c, n in counts.items() if n > part_rows}, part_rows)
+
+    def to_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, part = b.column(0).to_numpy(), np.zeros(b.num_rows, np.int32)
+            for c in np.intersect1d(cell, list(inner)):
+                at = np.flatnonzero(cell == c)
+                part[at] = _nearest(to_xyz(b.column(2).to_numpy()[at], b.column(3).to_numpy()[at]), inner[c])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(part), *b.columns[1:]], names=["cell", "part", "key", "lat", "lon"])
+
+    #: (cell, part) -> in how many it is dealt
+    dealt: dict[tuple[int, int], int] = {}
+    if inner:
+        placed = placed.mapInArrow(to_part, "cell int, part int, key string, lat double, lon double")
+        # at most MAX_INNER rows
+        dealt = {(r.cell, r.part): -(-r["count"] // part_rows) for r in placed.where(F.col("cell").isin(list(inner))).groupBy("cell", "part").count().where(F.col("count") > 4 * part_rows).collect()}
+        if dealt:
+            deal = points.sparkSession.createDataFrame([(c, p, n, len(inner[c])) for (c, p), n in dealt.items()], "cell int, part int, n int, step int")
+            placed = placed.join(F.broadcast(deal), ["cell", "part"], "left")  # at most MAX_INNER rows
+            more = F.coalesce(F.col("step") * F.pmod(F.xxhash64("key"), F.col("n")), F.lit(0)).cast("int")
+            placed = placed.select("cell", (F.col("part") + more).alias("part"), "key", "lat", "lon")
+    else:
+        placed = placed.withColumn("part", F.lit(0))
+    full = np.array([counts.get(i, 0) for i in range(len(piv))])
 
     kind = "cell int, part int, site long, lat double, lon double, radius_m double, ring array<struct<lat: double, lon: double>>"
 
@@ -193,8 +239,12 @@ def near_or_inside(points: DataFrame, sites: DataFrame, max_pivots: int = MAX_PI
                 else:
                     c = to_xyz(np.array(lat), np.array(lon))
                 d = great_circle_m(piv, c)
-                for cell in np.flatnonzero((d <= d.min() + 2 * radius + SLACK_M) & (split > 0)):
-                    for part in range(split[cell]):
+                for cell in np.flatnonzero((d <= d.min() + 2 * radius + SLACK_M) & (full > 0)):
+                    reached = np.zeros(1, int)
+                    if cell in inner:
+                        near = great_circle_m(inner[cell], c)
+                        reached = np.flatnonzero(near <= near.min() + 2 * radius + SLACK_M)
+                    for part in (p + len(inner.get(cell, ())) * k for p in reached for k in range(dealt.get((cell, p), 1))):
                         for x, v in zip(cols, (cell, part, site, np.degrees(np.arcsin(np.clip(c[2], -1, 1))) if ring is not None else lat, np.degrees(np.arctan2(c[1], c[0])) if ring is not None else lon, radius, ring)):
                             x.append(v)
             ring_type = pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))

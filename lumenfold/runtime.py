@@ -94,12 +94,15 @@ def hot_keys(df: DataFrame, key: str, least: int = 5000) -> list:
     return [r[0] for r in counts.orderBy(F.col("count").desc(), key).limit(HOT_KEYS).collect()]
 
 
-def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least: int = 5000) -> DataFrame:
+def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least: int = 5000, rows: int | None = None) -> DataFrame:
     """Equi-join on one column of equal name, where ``small`` has at most one row a key.
 
     Rows of hot keys are joined with a broadcast of at most HOT_KEYS rows, so they stay spread
     over their partitions, and so do rows without a key; all others go through an ordinary shuffled join.
+    ``rows``: how many ``big`` has, where that is known; with no more than ``least`` no key is hot, and none is looked for.
     """
+    if rows is not None and rows <= least:
+        return big.join(small, key, how)
     keys = hot_keys(big, key, least)
     if not keys and how == "inner":
         return big.join(small, key, how)

@@ -62,3 +62,17 @@ def test_join_against_brute_force(spark):
     assert got == want and len(want) > 2000
     assert G.near_or_inside(p.limit(0), s).count() == 0
     assert G.near_or_inside(p, s.limit(0)).count() == 0
+
+
+def test_crowded_cells_are_cut_by_pivots_of_their_own(spark):
+    """A third of all points in one town, a third in one place: sites reach few parts, and nothing is lost."""
+    rng = np.random.default_rng(6)
+    lat, lon = rng.uniform(-80, 80, 3000), rng.uniform(-180, 180, 3000)
+    lat[:1000], lon[:1000] = 45.0 + rng.normal(0, 0.5, 1000), 7.0 + rng.normal(0, 0.5, 1000)
+    lat[1000:2000], lon[1000:2000] = -33.0, 151.0
+    p = spark.createDataFrame([(f"p{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))], "key string, lat double, lon double")
+    sites = [(i, float(lat[k]), float(lon[k]), float(10 ** rng.uniform(2, 6)), None, "x") for i, k in enumerate(rng.integers(0, 3000, 50))]
+    got = {(r.key, r.site) for r in G.near_or_inside(p, spark.createDataFrame(sites, SITES), 4, 100).collect()}
+    xyz = G.to_xyz(lat, lon)
+    want = {(f"p{i}", s[0]) for s in sites for i in np.flatnonzero(G.great_circle_m(xyz, G.to_xyz(np.array(s[1]), np.array(s[2]))) <= s[3])}
+    assert got == want
