@@ -22,21 +22,25 @@ from pyspark.sql import types as T
 from lumenfold.runtime import drop_path, hot_join, stage, width
 
 
-def _with_min(edges: DataFrame, on: str) -> DataFrame:
+#: A node with more edges (16 bytes each) than this is joined apart.
+HOT_EDGES = 200_000
+
+
+def _with_min(edges: DataFrame, on: str, rows: int | None) -> DataFrame:
     """``edges`` left-joined with the smallest neighbour ``m`` of the node in column ``on`` (null where all are larger)."""
     minima = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    return hot_join(edges, minima.select(F.col("hi").alias(on), "m"), on, "left")
+    return hot_join(edges, minima.select(F.col("hi").alias(on), "m"), on, "left", HOT_EDGES, rows)
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """(v, u) with v > u becomes (v, smallest neighbour of u or u itself)."""
-    return _with_min(edges, "lo").select("hi", F.coalesce("m", "lo").alias("lo"))
+def large_star(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(v, u) with v > u becomes (v, smallest neighbour of u or u itself). ``rows``: number of edges, where known."""
+    return _with_min(edges, "lo", rows).select("hi", F.coalesce("m", "lo").alias("lo"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(u, n) with n < u becomes (n, m) and (u, m), where m is the smallest neighbour of u."""
     both = F.explode(F.array(F.col("lo"), F.col("hi"))).alias("hi")
-    return _with_min(edges, "hi").select(both, F.col("m").alias("lo")).where("hi <> lo").distinct()
+    return _with_min(edges, "hi", rows).select(both, F.col("m").alias("lo")).where("hi <> lo").distinct()
 
 
 def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -46,9 +50,9 @@ def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     ranked = names.repartitionByRange(width(spark), "node").sortWithinPartitions("node").withColumn("no", F.monotonically_increasing_id())
     nodes, nodes_path = stage(ranked, "cc-nodes")
     drop_path(spark, names_path)
-    out = pairs
+    out, rows = pairs, pairs.count()
     for end in ("hi", "lo"):
-        out = hot_join(out, nodes.select(F.col("node").alias(end), F.col("no").alias(f"{end}_no")), end)
+        out = hot_join(out, nodes.select(F.col("node").alias(end), F.col("no").alias(f"{end}_no")), end, least=HOT_EDGES, rows=rows)
     numbered, path = stage(out.select(F.col("hi_no").alias("hi"), F.col("lo_no").alias("lo")), "cc")
     return numbered, nodes, [path, nodes_path]
 
@@ -58,17 +62,18 @@ def rewrite(edges: DataFrame, path: str | None = None) -> tuple[DataFrame, str |
 
     ``edges``: distinct ``hi`` > ``lo``; ``path``: their folder, given up after the first round.
     """
-    spark, rounds, before = edges.sparkSession, 0, None
+    rounds, before, n = 0, None, edges.count()
     while True:
         rounds += 1
-        mid, mid_path = stage(large_star(edges), "cc")
+        mid, mid_path = stage(large_star(edges, n), "cc")  # as many edges as before
         seen = Observation()
-        counted = small_star(mid).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
+        counted = small_star(mid, n).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
         nxt, nxt_path = stage(counted, "cc")
         for p in (path, mid_path):
             if p:
                 drop_path(spark, p)
         edges, path, now = nxt, nxt_path, (seen.get["n"], seen.get["s"])
+        n = now[0]
         if now == before or not now[0]:
             return edges, path, rounds
         before = now

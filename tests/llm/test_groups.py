@@ -61,6 +61,7 @@ def test_hot_nodes_are_joined_apart(spark, monkeypatch):
     calls = []
     real = runtime.hot_keys
     monkeypatch.setattr(runtime, "hot_keys", lambda df, key, least=5000: calls.append(1) or real(df, key, 10))
+    monkeypatch.setattr(CC, "HOT_EDGES", 10)
     edges = [(i, 0) for i in range(1, 60)] + [(i, i - 1) for i in range(60, 90)]
     got = {r.node: r.component for r in CC.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert calls and got == union(edges)
