@@ -62,7 +62,7 @@ def rewrite(edges: DataFrame, path: str | None = None) -> tuple[DataFrame, str |
 
     ``edges``: distinct ``hi`` > ``lo``; ``path``: their folder, given up after the first round.
     """
-    rounds, before, n = 0, None, edges.count()
+    spark, rounds, before, n = edges.sparkSession, 0, None, edges.count()
     while True:
         rounds += 1
         mid, mid_path = stage(large_star(edges, n), "cc")  # as many edges as before
