@@ -127,16 +127,19 @@ def average_linkage(sim: np.ndarray, threshold: float, copies: np.ndarray | None
     label, s = np.arange(n), sim.astype(float).copy()
     size = np.ones(n) if copies is None else copies.astype(float)
     np.fill_diagonal(s, -1)
+    near = np.round(s, 12)  # means that differ by rounding are equal, and the first of them counts
     while n > 1:
-        at = int(s.argmax())
+        at = int(near.argmax())
         i, j = divmod(at, n)
-        if s[i, j] < threshold:
+        if near[i, j] < threshold:
             break
         i, j = min(i, j), max(i, j)
         merged = (s[i] * size[i] + s[j] * size[j]) / (size[i] + size[j])
         s[i], s[:, i] = merged, merged
-        s[i, i] = -1
-        s[j], s[:, j] = -1, -1
+        near[i], near[:, i] = np.round(merged, 12), np.round(merged, 12)
+        for m in (s, near):
+            m[i, i] = -1
+            m[j], m[:, j] = -1, -1
         size[i] += size[j]
         label[label == j] = i
     return label

@@ -38,10 +38,17 @@ def bucket_stats(indexed: DataFrame) -> DataFrame:
     )
 
 
-def candidates(indexed: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
-    """``query``, ``id``, ``tables``: vectors that share a bucket with a query (``queries`` is an index of the query vectors)."""
-    q = queries.select(F.col("id").alias("query"), "tbl", "bucket")
-    hits = indexed.join(q, ["tbl", "bucket"]).where("id <> query").groupBy("query", "id").agg(F.count("*").alias("tables"))
+def candidates(indexed: DataFrame, queries: DataFrame, limit: int | None = None, crowded: int = 20_000) -> DataFrame:
+    """``query``, ``id``, ``tables``: vectors that share a bucket with a query (``queries`` is an index of the query vectors).
+
+    Buckets of more than ``crowded`` vectors (the 1024 largest of them) are dealt into parts, and their queries go to every part.
+    """
+    sizes = indexed.groupBy("tbl", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > crowded)
+    parts = F.broadcast(sizes.orderBy(F.col("n").desc(), "tbl", "bucket").limit(1024).withColumn("parts", F.ceil(F.col("n") / crowded).cast("int")).drop("n"))
+    n = F.coalesce("parts", F.lit(1))
+    held = indexed.join(parts, ["tbl", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id"), n).cast("int")).drop("parts")
+    q = queries.select(F.col("id").alias("query"), "tbl", "bucket").join(parts, ["tbl", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
+    hits = held.join(q, ["tbl", "bucket", "part"]).where("id <> query").groupBy("query", "id").agg(F.count("*").alias("tables"))
     if limit is None:
         return hits
     from pyspark.sql import Window

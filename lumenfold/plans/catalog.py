@@ -343,13 +343,33 @@ def dbscan_image_clusters(spark, d):
     return clustering.dbscan_images(images(spark, d), NEAR, 3)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_NEAR}, e AS (SELECT id_a AS a, id_b AS b FROM np UNION ALL SELECT id_b, id_a FROM np), reach(id, k) AS (SELECT a, a FROM e UNION SELECT e.b, r.k FROM reach r JOIN e ON e.a = r.id WHERE r.k < e.b),
+    node AS MATERIALIZED (SELECT cls.*, root FROM cls JOIN (SELECT id, min(k) AS root FROM reach GROUP BY 1) USING (id)),
+    sims AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {_sim("a", "b")} AS s FROM node a JOIN node b ON a.root = b.root AND a.id <> b.id),
+    st AS (SELECT 0 AS i, root, id, id AS cl, copies AS w FROM node
+      UNION ALL SELECT i + 1, root, m.id, CASE WHEN m.cl = best.hi THEN best.lo ELSE m.cl END, m.w FROM (SELECT i, root, best, unnest(ms) AS m FROM (
+        SELECT i, root, any_value(ms) AS ms, arg_min({{'lo': lo, 'hi': hi}}, (-far, lo, hi)) AS best FROM (
+          SELECT i, root, any_value(ms) AS ms, p.x.cl AS lo, q.x.cl AS hi, round(sum(s * p.x.w * q.x.w) / sum(p.x.w * q.x.w), 12) AS far FROM (SELECT i, root, list({{'id': id, 'cl': cl, 'w': w}}) AS ms FROM st GROUP BY 1, 2) g, unnest(g.ms) p(x), unnest(g.ms) q(x)
+            JOIN sims ON sims.a = p.x.id AND sims.b = q.x.id WHERE p.x.cl < q.x.cl GROUP BY 1, 2, 4, 5) WHERE far >= {NEAR}::DOUBLE - 1e-12 GROUP BY 1, 2))),
+    done AS (SELECT id, arg_max(cl, i) AS cluster FROM st GROUP BY 1)
+    SELECT hs.id, coalesce(done.cluster, cls.id) AS cluster FROM hs JOIN cls USING (a_hash, p_hash, d_hash, w_hash) LEFT JOIN done ON done.id = cls.id WHERE done.id IS NOT NULL OR cls.copies > 1"""
+)
 def agglomerative_clusters(spark, d):
     return clustering.agglomerative_images(images(spark, d), NEAR)
 
 
-@query()
+@query(
+    """WITH RECURSIVE v AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+    dist AS MATERIALIZED (SELECT a.id AS a, b.id AS b, 1 - list_cosine_similarity(a.e, b.e) AS d FROM v a, v b),
+    st AS (SELECT 0 AS i, row_number() OVER (ORDER BY id) - 1 AS c, id AS m FROM (SELECT id FROM v ORDER BY id LIMIT 8)
+      UNION ALL SELECT any_value(i) + 1, c, arg_min(id, (cost, id)) FROM (SELECT i, c, p.x AS id, round(sum(d), 9) AS cost
+        FROM (SELECT i, c, list(id) AS ids FROM (SELECT i, dist.b AS id, arg_min(c, (d, c)) AS c FROM st JOIN dist ON dist.a = st.m WHERE i < 60 GROUP BY i, dist.b) GROUP BY i, c) g,
+          unnest(g.ids) p(x), unnest(g.ids) q(x) JOIN dist ON dist.a = p.x AND dist.b = q.x GROUP BY i, c, p.x) GROUP BY c)
+    SELECT dist.b AS id, arg_min(c, (d, c))::INT AS cluster, arg_min(m, (d, c)) AS medoid FROM st JOIN dist ON dist.a = st.m WHERE i = 60 GROUP BY 1"""
+)
 def k_medoid_clusters(spark, d):
+    """Goes on until the medoids settle; the SQL goes on for sixty rounds, after which they stay."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     return clustering.k_medoids(rows, 8, lambda a, b: 1 - S.cosine(a, b), max_rounds=100)
 
@@ -357,9 +377,9 @@ def k_medoid_clusters(spark, d):
 _LSH = dict(dim=64, tables=2, bits=6)
 
 
-def _lsh_sql() -> str:
-    one = lambda t: " + ".join(f"CASE WHEN list_dot_product(embedding::DOUBLE[], {lsh.hyperplane(t, b, 64)}::DOUBLE[]) > 0 THEN {1 << b} ELSE 0 END" for b in range(6))
-    return " UNION ALL ".join(f"SELECT vec_id AS id, {t} AS tbl, ({one(t)})::BIGINT AS bucket FROM embeddings WHERE len(embedding) = 64" for t in range(2))
+def _lsh_sql(tables: int = 2, bits: int = 6) -> str:
+    one = lambda t: " + ".join(f"CASE WHEN list_dot_product(embedding::DOUBLE[], {lsh.hyperplane(t, b, 64)}::DOUBLE[]) > 0 THEN {1 << b} ELSE 0 END" for b in range(bits))
+    return " UNION ALL ".join(f"SELECT vec_id AS id, {t} AS tbl, ({one(t)})::BIGINT AS bucket FROM embeddings WHERE len(embedding) = 64" for t in range(tables))
 
 
 @query(
@@ -383,10 +403,15 @@ def lsh_candidates(spark, d):
 _LSH_WIDE = dict(dim=64, tables=32, bits=5)
 
 
-@query()
+@query(
+    f"""WITH x AS ({_lsh_sql(32, 5)}), hit AS (SELECT DISTINCT q.id AS query, x.id FROM x JOIN x q USING (tbl, bucket) WHERE q.id % 100 = 0 AND q.id <> x.id)
+    SELECT query, id, round(s, 9) AS cosine FROM (SELECT query, hit.id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM hit JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = hit.id)
+    QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) <= 10"""
+)
 def lsh_neighbours(spark, d):
     """The ten nearest of the query vectors of ``lsh_candidates``, by an index wide enough for a recall of 0.9."""
-    return lsh.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0, 10, **_LSH_WIDE)
+    found = lsh.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0, 10, **_LSH_WIDE)
+    return found.withColumn("cosine", F.round("cosine", 9))
 
 
 # --- vectors ---------------------------------------------------------------------------------------------
