@@ -95,6 +95,15 @@ def _p5(field: str, dim: int) -> str:
 P5 = _p5("feature_vector", 52) + " UNION ALL " + _p5("color_histogram", 48)
 
 
+P1_TYPICAL = f"""
+WITH members AS ({P1}), u AS ({_usable("feature_vector", 52)}),
+dims AS (SELECT cluster_key, image_id, i, x / sqrt(norm) AS x FROM (SELECT cluster_key, image_id, unnest(range(52)) AS i, unnest(v) AS x, list_dot_product(v, v) AS norm FROM members JOIN u ON u.id = image_id)),
+centre AS (SELECT cluster_key, i, avg(x)::FLOAT::DOUBLE AS c FROM dims GROUP BY 1, 2),
+near AS (SELECT cluster_key, image_id, round(sum(x * c), 6) AS s FROM dims JOIN centre USING (cluster_key, i) GROUP BY 1, 2)
+SELECT cluster_key, count(*) AS n_images, round(max(s), 5) AS nearest FROM near GROUP BY 1
+"""
+
+
 def _facts(limit: int, more: str = "") -> str:
     return f"""SELECT doc_id, length(text) AS chars, 0::BIGINT AS begins, length(text) AS ends, 0::BIGINT AS above, CASE WHEN strlen(text) <= {limit} THEN 1::BIGINT END AS pieces_if_small{more}
       FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"""
@@ -105,4 +114,4 @@ P8, P10 = _facts(8192, ", 0::BIGINT AS containers_above"), _facts(1024)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p4_found": P4, "p4_records": P4_RECORDS, "p5_found": P5, "p6_found": P6, "p7_found": P7, "p8_facts": P8, "p10_facts": P10}
+    return {"p1_found": P1, "p4_found": P4, "p4_records": P4_RECORDS, "p5_found": P5, "p6_found": P6, "p7_found": P7, "p1_typical": P1_TYPICAL, "p8_facts": P8, "p10_facts": P10}

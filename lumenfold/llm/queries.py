@@ -20,6 +20,16 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.describe(members, images)
 
 
+def p1_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every cluster, and how near its most typical image is to its centroid."""
+    images = table(spark, sf_dir, "fingerprints")
+    found, _ = stage(p1_clusters(spark, sf_dir), "p1-clusters")
+    first = images.select(F.col("id").alias("image_id"), F.col("feature_vector").cast("array<double>").alias("v")).groupBy("image_id").agg(F.first("v").alias("v"))
+    rows = found.select("cluster_key", "n_images", F.element_at("images", 1).alias("image_id"), F.col("centroid").cast("array<double>").alias("c")).join(first, "image_id")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("cluster_key", "n_images", F.round(F.round(dot("v", "c") / F.sqrt(dot("v", "v")), 6), 5).alias("nearest"))
+
+
 def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.surviving_records(table(spark, sf_dir, "duplicate_groups"), table(spark, sf_dir, "fingerprints"))
 
