@@ -60,14 +60,8 @@ class Engine:
     def stats(self) -> DataFrame:
         return self.store.stats(self.exact_duplicates().count())
 
-    def report(self, threshold: float = 0.9, scan_id: str = "scan") -> dict:
-        fp = self.store.all()
-        return reports.build(fp, self.exact_duplicates(), self.near_duplicates(threshold), scan_id=scan_id)
-
-    def export(self, path: str, kind: str = "json", threshold: float = 0.9, scan_id: str = "scan") -> str:
-        """Write a report; the JSON form holds all groups with all their ids, the others list the first groups."""
-        if kind != "json":
-            return reports.write(self.report(threshold, scan_id), path, kind)
+    def _groups(self, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Exact groups, near groups, and the members of both (group_id, main_image, reason, confidence, n_members, id), each evaluated once."""
         fp = self.store.all()
         groups, _ = stage(D.near_groups(fp, threshold, self.config.weights), "near")
         near, _ = stage(D.near_group_records(fp, threshold, weights=self.config.weights, groups=groups), "near")
@@ -75,7 +69,18 @@ class Engine:
         cols = ["group_id", "main_image", "reason", "confidence", "n_members", "id"]
         same = hot_join(D.exact_members(fp).select("sha", "id"), exact, "sha").select(cols)
         alike = hot_join(groups.select("leader", "id"), near, "leader").select(cols)
-        return reports.write_json(reports.build(fp, exact, near, scan_id=scan_id), same.unionByName(alike), path)
+        return exact, near, same.unionByName(alike)
+
+    def report(self, threshold: float = 0.9, scan_id: str = "scan", shown: int = 50) -> dict:
+        exact, near, members = self._groups(threshold)
+        return reports.build(self.store.all(), exact, near, members.select("group_id", "id"), scan_id=scan_id, shown=shown)
+
+    def export(self, path: str, kind: str = "json", threshold: float = 0.9, scan_id: str = "scan") -> str:
+        """Write a report; the JSON form holds all groups with all their ids, the others list the first groups."""
+        if kind != "json":
+            return reports.write(self.report(threshold, scan_id), path, kind)
+        exact, near, members = self._groups(threshold)
+        return reports.write_json(reports.build(self.store.all(), exact, near, scan_id=scan_id), members, path)
 
     def close(self) -> None:
         self.store.close()

@@ -64,10 +64,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.command == "scan":
             print(json.dumps(engine.scan(*a.folders)))
         elif a.command == "find-duplicates":
-            for df in [engine.exact_duplicates()] + ([] if a.exact_only else [engine.near_duplicates(a.threshold)]):
-                print(f"{df.count()} groups")
-                for r in df.orderBy("group_id").limit(20).collect():
-                    print(f"  {r.group_id}: keep {r.main_image}, {r.n_members} images, {r.confidence:.3f}")
+            if a.exact_only:
+                exact = engine.exact_duplicates()
+                members = D.exact_members(engine.store.all()).select("sha", "id").join(exact.select("sha", "group_id"), "sha")
+                report = reports.build(engine.store.all(), exact, exact.limit(0), members.select("group_id", "id"))
+            else:
+                report = engine.report(a.threshold)
+            print(reports.to_console(report), end="")
         elif a.command == "clean":
             o = CleanOptions(a.threshold, Policy[a.policy.upper()], a.min_quality, not a.delete, a.output, not a.apply)
             print(json.dumps(engine.clean(o).first().asDict()))

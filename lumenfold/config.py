@@ -11,7 +11,7 @@ from lumenfold.schema import ENGINE_FORMATS
 
 @dataclass
 class EngineConfig:
-    """Options of the engine; ``workers`` is a number of partitions, everything else is Spark's."""
+    """Options of the engine. ``workers`` is kept for configuration files: how much runs at once is a matter of Spark's own settings."""
 
     index_path: str = "index"
     workers: int = 4

@@ -2,6 +2,8 @@
 
 An image is an (h, w, 3) array of 8-bit RGB.  ``gray8`` is 8-bit luminance; measures that are defined on
 16-bit channels use ``gray8 * 257``.
+
+Fixed values: the thresholds, divisors, sampling steps and bit orders of the hashes and measures below are part of what they mean.
 """
 
 from __future__ import annotations

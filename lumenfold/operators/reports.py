@@ -48,6 +48,7 @@ def recommendations(report: DataFrame) -> DataFrame:
         s = F.struct(*[F.lit(v).alias(k) for k, v in fields.items()], text.alias("description"), F.lit(sure).alias("confidence"))
         return F.when(cond, s)
 
+    # fixed values: kinds, priorities and texts of the recommendations
     found = F.array_compact(
         F.array(
             one(c("exact_duplicate_count") > 0, "storage_optimization", "high", F.concat(F.lit("Found "), c("exact_duplicate_count").cast("string"), F.lit(" exact duplicate groups")), "Run clean command to remove exact duplicates", "storage", 1.0),
@@ -83,7 +84,7 @@ def build(fingerprints: DataFrame, exact: DataFrame, near: DataFrame, members: D
         number = F.length("group_id"), F.col("group_id")  # exact_2 before exact_10
         listed = df.orderBy(*number).limit(shown)
         if members is not None:
-            listed = listed.join(heads(members.join(listed.select("group_id"), "group_id", "left_semi"), "group_id"), "group_id", "left")
+            listed = listed.join(heads(members.join(listed.select("group_id"), "group_id", "left_semi"), "group_id", 4), "group_id", "left")
         for r in listed.orderBy(*number).collect():
             d = r.asDict()
             groups.append({k: d.get(k) for k in ("group_id", "main_image", "n_members", "reason", "confidence", "shown", "more") if d.get(k) is not None})
@@ -171,7 +172,21 @@ def to_html(report: dict) -> str:
     return f"<!doctype html><html><head><meta charset='utf-8'><title>Duplicate image report</title><style>{style}</style></head><body><h1>Duplicate image report</h1>{cards}<h2>Groups</h2><ul>{groups}</ul><h2>Recommendations</h2><ul>{tips}</ul></body></html>\n"
 
 
-FORMATS = {"json": (to_json, ".json"), "text": (to_text, ".txt"), "html": (to_html, ".html"), "brief": (to_brief, ".txt")}
+def to_console(report: dict) -> str:
+    """The listing of a terminal: three members of an exact group, two of a near one, and what could be saved."""
+    out = []
+    for reason, shown in (("exact", 3), ("near", 2)):
+        out.append(f"{reason} duplicates: {report[f'{reason}_duplicate_count']} groups")
+        for g in (g for g in report["duplicate_groups"] if g["reason"] == reason):
+            ids = [x for x in g.get("shown", []) if x != g["main_image"]][:shown]
+            out.append(f"  {g['group_id']}: keep {g['main_image']}, {g['n_members']} images, {100 * g['confidence']:.1f}%")
+            out += [f"    {x}" for x in ids]
+            if g["n_members"] - 1 > len(ids):
+                out.append(f"    … and {g['n_members'] - 1 - len(ids)} more")
+    return "\n".join([*out, f"possible savings: {report['potential_savings_mb']} MB"]) + "\n"
+
+
+FORMATS = {"console": (to_console, ".txt"), "json": (to_json, ".json"), "text": (to_text, ".txt"), "html": (to_html, ".html"), "brief": (to_brief, ".txt")}
 
 
 def write(report: dict, path: str, kind: str) -> str:

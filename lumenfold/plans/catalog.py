@@ -121,17 +121,33 @@ def extension_counts(spark, d):
     return images(spark, d).groupBy(S.extension(p).alias("ext"), S.format_of(p).alias("fmt"), S.has_extension(p, FS.SCANNER_FORMATS).alias("supported")).agg(F.count("*").alias("n"))
 
 
+_PATH_PARTS = r"[x FOR x IN string_split(replace({p}, '\', '/'), '/') IF x NOT IN ('', '.')]"
+_NORMAL = f"CASE WHEN starts_with(replace({{p}}, '\\', '/'), '/') THEN '/' ELSE '' END || array_to_string({_PATH_PARTS}, '/')"
+
+
 @query(
-    rf"""WITH {FP} SELECT id, regexp_extract(metadata.path, '([^/]*)/*$', 1) AS name, regexp_replace(metadata.path, '\.[^./]*$', '') || '.webp' AS changed,
-    starts_with(regexp_extract(metadata.path, '([^/]*)/*$', 1), '.') AS hidden, starts_with(metadata.path, '/archive/') AS below,
-    CASE WHEN starts_with(metadata.path, '/archive/') THEN substr(metadata.path, 10) END AS relative, 'img_' || substr(sha256(metadata.path), 1, 16) AS path_id FROM fp
-    WHERE NOT contains(metadata.path, '//') AND NOT contains(metadata.path, '/./') AND NOT contains(metadata.path, '\') AND NOT suffix(metadata.path, '/')"""
+    rf"""WITH {FP}, n AS (SELECT id, metadata.path AS path, {_NORMAL.format(p="metadata.path")} AS np FROM fp)
+    SELECT id, regexp_extract(path, '([^/]*)/*$', 1) AS name, regexp_replace(path, '\.[^./]*$', '') || '.webp' AS changed, starts_with(regexp_extract(path, '([^/]*)/*$', 1), '.') AS hidden,
+    starts_with(np, '/archive/') AS below, CASE WHEN starts_with(np, '/archive/') THEN substr(np, 10) END AS relative, 'img_' || substr(sha256(path), 1, 16) AS path_id FROM n"""
 )
 def path_functions(spark, d):
     p, base = _META("path"), F.lit("/archive")
-    clean = ~p.contains("//") & ~p.contains("/./") & ~p.contains("\\") & ~p.endswith("/")
     cols = [S.base_name(p).alias("name"), S.change_extension(p, "webp").alias("changed"), S.is_hidden(p).alias("hidden"), S.is_subpath(p, base).alias("below"), S.relative_path(p, base).alias("relative"), S.image_id(p).alias("path_id")]
-    return images(spark, d).where(clean).select("id", *cols)
+    return images(spark, d).select("id", *cols)
+
+
+_ODD = ["replace({p}, '/', '//')", "concat({p}, '/')", "concat('/archive/.', {p})", "concat('./', substr({p}, 2), '/.')", "concat('/archive/', id, '///', '././x.png')", "translate({p}, '/', '" + chr(92) * 2 + "')"]
+
+
+@query(
+    f"""WITH {FP}, v AS (SELECT id, unnest([{", ".join(o.replace("'" + chr(92) * 2 + "'", "'" + chr(92) + "'").format(p="metadata.path") for o in _ODD)}]) AS path FROM fp), n AS (SELECT id, path, {_NORMAL.format(p="path")} AS np FROM v)
+    SELECT id, path, np AS normal, starts_with(np, '/archive/') AS below, CASE WHEN starts_with(np, '/archive/') THEN substr(np, 10) END AS relative FROM n"""
+)
+def path_normalisation(spark, d):
+    """Paths with repeated, trailing and backward separators and with dots."""
+    odd = images(spark, d).select("id", F.explode(F.array(*[F.expr(o.format(p="metadata.path")) for o in _ODD])).alias("path"))
+    p, base = F.col("path"), F.lit("/archive")
+    return odd.select("id", "path", S.normalise_path(p).alias("normal"), S.is_subpath(p, base).alias("below"), S.relative_path(p, base).alias("relative"))
 
 
 @query(

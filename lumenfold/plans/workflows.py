@@ -50,7 +50,7 @@ _SCAN = replace(_HASHED, exclude_dirs=("Thumbs",))
 
 @query(
     PX._HASHES.replace("SELECT path, a_hash, p_hash, d_hash, a_hash AS w_hash FROM ah", "SELECT * FROM (SELECT path, a_hash, p_hash, d_hash, a_hash AS w_hash FROM ah", 1)
-    + """) JOIN (SELECT path, 'png' AS format, 32 AS width, 32 AS height, nullif(trim(camera_model), '') AS camera_model, 1577836800 + n * 100000 AS taken_at, round(n - 30.25::DOUBLE, 6) AS gps_lat, round(n * 3 - 90.5::DOUBLE, 6) AS gps_lon, true AS has_gps, true AS hashed
+    + """) JOIN (SELECT path, 'png' AS format, 32 AS width, 32 AS height, nullif(trim(camera_model), '') AS camera_model, (1577836800 + n * 100000)::BIGINT AS taken_at, round(n - 30.25::DOUBLE, 6) AS gps_lat, round(n * 3 - 90.5::DOUBLE, 6) AS gps_lon, true AS has_gps, true AS hashed
       FROM cam JOIN cameras ON camera_id = path) USING (path)"""
 )
 def folder_scan(spark, d):

@@ -53,6 +53,14 @@ def running_tasks(spark: SparkSession) -> tuple[int, int]:
     return sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages)
 
 
+def pool_stats(spark: SparkSession) -> dict[str, int]:
+    """What a pool of workers would tell of its queue, from Spark's scheduler: slots, jobs, and tasks that wait, run and are done."""
+    t = spark.sparkContext.statusTracker()
+    stages = [s for s in map(t.getStageInfo, t.getActiveStageIds()) if s]
+    running, done, every = (sum(getattr(s, k) for s in stages) for k in ("numActiveTasks", "numCompletedTasks", "numTasks"))
+    return {"workers": spark.sparkContext.defaultParallelism, "jobs": len(t.getActiveJobsIds()), "queued": every - running - done, "running": running, "done": done}
+
+
 def logger(name: str = "lumenfold", level: str = "info", file: str | None = None, max_mb: int = 100, backups: int = 5) -> logging.Logger:
     """A named logger; unknown levels mean info."""
     log = logging.getLogger(name)
