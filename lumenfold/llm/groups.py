@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.components import connected_components
+from lumenfold.operators.geo import has_position
 from lumenfold.runtime import clean_id, hot_join
 
 #: Camera texts that stand for "unknown".
@@ -41,13 +42,6 @@ def consolidate(groups: DataFrame) -> DataFrame:
     return cc.select(F.col("node").alias("image_id"), F.col("component").alias("group_key"))
 
 
-def has_position(exif: str = "metadata.exif") -> Column:
-    """True where the position counts: flagged, both coordinates finite, non-zero and in range."""
-    lat, lon = F.col(f"{exif}.gps_lat"), F.col(f"{exif}.gps_lon")
-    ok = F.col(f"{exif}.has_gps") & ~F.isnan(lat) & ~F.isnan(lon) & (lat != 0) & (lon != 0)
-    return F.coalesce(ok & lat.between(-90, 90) & lon.between(-180, 360), F.lit(False))
-
-
 def counting_score(quality: str = "quality") -> Column:
     """final_score where it counts: 0..100 and not the 50 of a failed rating; else null."""
     q = lambda f: F.col(f"{quality}.{f}")
@@ -72,7 +66,7 @@ def image_facts(fingerprints: DataFrame) -> DataFrame:
         m("modified_at").alias("modified_at"),
         F.coalesce(cam.isNotNull() & (cam != "") & ~cam.isin(*NO_CAMERA), F.lit(False)).alias("has_camera"),
         m("exif.taken_at").isNotNull().alias("has_taken"),
-        has_position().alias("has_gps"),
+        has_position(m("exif.gps_lat"), m("exif.gps_lon"), m("exif.has_gps")).alias("has_gps"),
         "created_at",
     ).where("member is not null")
     first = F.min(F.struct(F.col("created_at"), *[F.col(c) for c in ("score", "area", "size_bytes", "modified_at", "has_camera", "has_taken", "has_gps")])).alias("x")
