@@ -309,8 +309,8 @@ def is_hidden(path: Column) -> Column:
 
 def normalise_path(path: Column) -> Column:
     """Separators unified, repeated ones and ``.`` parts dropped, no separator at the end."""
-    p = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"/(\./)+|//+", "/")
-    p = F.regexp_replace(F.regexp_replace(p, r"^\./", ""), r"/\.$", "")
+    p = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"/+(?:\./+)*", "/")
+    p = F.regexp_replace(F.regexp_replace(p, r"^\./", ""), r"/\.$", "/")
     return F.when(p == "/", p).otherwise(F.regexp_replace(p, r"/$", ""))
 
 
