@@ -10,10 +10,11 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.config import EngineConfig
 from lumenfold.functions import scalars as S
-from lumenfold.schema import EXCLUDED_DIRS, FINGERPRINT, HASHES, METRICS, SCANNER_FORMATS
+from lumenfold.schema import EXCLUDED_DIRS, EXIF, FINGERPRINT, HASHES, METRICS, SCANNER_FORMATS
 
 
 @dataclass
@@ -153,6 +154,42 @@ def with_header_size(files: DataFrame, head_bytes: int = 1 << 18) -> DataFrame:
     return files.withColumn("_head", read(F.when(whole, F.col("content")).otherwise(head))).select("*", "_head.*").drop("_head")
 
 
+def with_facts(files: DataFrame, head_bytes: int = 1 << 18) -> DataFrame:
+    """Adds ``exif``, ``decoded_format``, ``width``, ``height``: what ``with_exif`` and ``with_header_size`` add, in one pass over the heads.
+
+    All of a file's content is read only where its head does not suffice.
+    """
+    from lumenfold.sources.exif import parse_exif, reaches_beyond
+
+    kind = T.StructType([*EXIF.fields, T.StructField("_exif", T.BooleanType()), T.StructField("decoded_format", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("_more", T.BooleanType())])
+    names = kind.names
+
+    @F.pandas_udf(kind)
+    def read(head):
+        import pandas as pd
+
+        rows = []
+        for b in head:
+            if b is None:
+                rows.append(dict.fromkeys(names))
+                continue
+            b = bytes(b)
+            exif, size = parse_exif(b), header_size(b)
+            more = reaches_beyond(b) or (size is None and b[:2] in (b"\xff\xd8", b"II", b"MM"))
+            rows.append((exif or {}) | dict(zip(("decoded_format", "width", "height"), size or (None, None, None))) | {"_exif": exif is not None, "_more": more})
+        out = pd.DataFrame(rows, columns=names)
+        for c, t in {"iso": "Int32", "width": "Int32", "height": "Int32", "has_gps": "boolean", "_exif": "boolean", "_more": "boolean", **dict.fromkeys(("aperture", "focal_length", "gps_lat", "gps_lon"), "Float64"), **dict.fromkeys(("camera_model", "lens_model", "exposure", "decoded_format"), object)}.items():
+            out[c] = out[c].astype(t)
+        out["taken_at"] = pd.to_datetime(out["taken_at"])
+        return out
+
+    first = files.withColumn("_f", read(F.substring("content", 1, head_bytes)))
+    rest = F.when(F.col("_f._more") & (F.length("content") > head_bytes), F.col("content"))
+    best = first.withColumn("_g", read(rest)).withColumn("_f", F.when(F.col("_g._exif").isNotNull(), F.col("_g")).otherwise(F.col("_f")))
+    exif = F.when(F.col("_f._exif"), F.struct(*[F.col(f"_f.{n}").alias(n) for n in EXIF.names]))
+    return best.select(*files.columns, exif.alias("exif"), "_f.decoded_format", "_f.width", "_f.height")
+
+
 def read_images(spark: SparkSession, root: str | list[str], files: FileFilter | None = None) -> DataFrame:
     """Decoded pixels below ``root``; undecodable files are rows with a width of -1. The path part of the filter is applied."""
     df = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", glob_for((files and files.include) or SCANNER_FORMATS)).load(root)
@@ -179,8 +216,8 @@ def measure_images(images: DataFrame, config: EngineConfig | None = None, bins:
         ])
         for b in batches:
             rows = []
-            for path, w, h, ch, data in zip(*(c.to_pylist() for c in b.columns)):
-                rgb = P.from_spark(w, h, ch, data)
+            for path, w, h, ch, data in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4)):
+                rgb = P.from_spark(w, h, ch, data.as_buffer())
                 if rgb is None:
                     continue
                 hashes = {f.name: 0 for f in HASHES}
@@ -209,11 +246,9 @@ def fingerprint_folder(spark: SparkSession, root: str | list[str], config: Engin
     Content is hashed in the JVM; pixels are measured in Arrow batches; both sides meet on the path.  Images of a format without a
     decoder have their size and content hash, hashes of 0 and no measures.
     """
-    from lumenfold.sources.exif import with_exif
-
     config = config or EngineConfig()
     files = files or config.file_filter()
-    listed = with_header_size(with_exif(scan_folder(spark, root, files))).withColumn("sha256", F.sha2("content", 256)).drop("content")
+    listed = with_facts(scan_folder(spark, root, files)).withColumn("sha256", F.sha2("content", 256)).drop("content")
     if config.compat_exif:
         listed = listed.withColumn("exif", placeholder_exif(F.col("path")))
     measured = measure_images(read_images(spark, root, files), config).withColumnsRenamed({"width": "w", "height": "h"})
