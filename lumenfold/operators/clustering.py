@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -185,6 +185,10 @@ def _linkage_rounds(rows: DataFrame, pairs: DataFrame, threshold: float, w: dict
         sums, sums_path = kept, kept_path
 
 
+#: Records of small groups that a task clusters one group after the other.
+BUNDLE_ROWS = 5000
+
+
 def agglomerative(fingerprints: DataFrame, pairs: DataFrame, threshold: float, weights: dict[str, float] | None = None, most: int = 5000, copies: DataFrame | None = None) -> DataFrame:
     """``id``, ``cluster`` (smallest id of it) by average linkage within each connected group of similar pairs.
 
@@ -199,25 +203,38 @@ def agglomerative(fingerprints: DataFrame, pairs: DataFrame, threshold: float, w
     tables = np.array([[S.transfer_value(n, d) for d in range(65)] for n in names])
     cols = [F.coalesce(F.col(f"perceptual_hashes.{n}"), F.lit(0)).alias(n) for n in names]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
+    def one(ids: np.ndarray, hashes: list[np.ndarray], copies: np.ndarray) -> np.ndarray:
         total, by = 0.0, 0.0
-        for i, n in enumerate(names):
-            h = pdf[n].to_numpy(np.int64)
+        for i, h in enumerate(hashes):
             both = (h[:, None] != 0) & (h[None, :] != 0)
             d = np.bitwise_count((h[:, None] ^ h[None, :]).view(np.uint64))
             total, by = total + np.where(both, tables[i][d] * w[i], 0), by + both * w[i]
-        label = average_linkage(np.where(by > 0, total / np.where(by > 0, by, 1), 0), threshold - 1e-12, pdf["copies"].to_numpy())
-        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["id"].to_numpy()[label]})
-
-    rows = roots.join(fingerprints.select("id", *cols), "id")
-    rows = rows.withColumn("copies", F.lit(1).cast("long")) if copies is None else rows.join(copies.select("id", "copies"), "id")
-    large, _ = stage(roots.groupBy("root").count().where(F.col("count") > most).select("root"), "linkage")
-    if not large.limit(1).count():
-        return rows.groupBy("root").applyInPandas(run, "id string, cluster string")
-    small = rows.join(large, "root", "left_anti").groupBy("root").applyInPandas(run, "id string, cluster string")
-    within = roots.join(large, "root").select(F.col("id").alias("id_a"))
-    return small.unionByName(_linkage_rounds(rows.join(large, "root").drop("root"), pairs.join(within, "id_a"), threshold, {n: S.weights_or_default(weights)[n] for n in names}))
+        return ids[average_linkage(np.where(by > 0, total / np.where(by > 0, by, 1), 0), threshold - 1e-12, copies)]
+
+    def run(t: pa.Table) -> pa.Table:
+        """The groups of one bundle, each by itself."""
+        t = t.sort_by([("root", "ascending"), ("id", "ascending")])
+        root, ids, copies = (np.array(t.column(c).to_pylist(), object) for c in ("root", "id", "copies"))
+        hashes = [t.column(n).to_numpy() for n in names]
+        begins = np.flatnonzero(np.r_[True, root[1:] != root[:-1]])
+        out = [one(ids[a:z], [h[a:z] for h in hashes], copies[a:z].astype(float)) for a, z in zip(begins, np.r_[begins[1:], len(ids)])]
+        return pa.table({"id": t.column("id"), "cluster": pa.array(np.concatenate(out).tolist(), t.column("id").type)})
+
+    sizes, _ = stage(roots.groupBy("root").agg(F.count("*").alias("n")), "linkage")
+    sized, _ = stage(hot_join(roots, sizes, "root"), "linkage")
+    # two similar records are one cluster
+    two = sized.where("n = 2").select("id", F.col("root").alias("cluster"))
+    rest = sized.where("n > 2").join(fingerprints.select("id", *cols), "id")
+    rest = rest.withColumn("copies", F.lit(1).cast("long")) if copies is None else rest.join(copies.select("id", "copies"), "id")
+    bundles = max(1, -(-sized.count() // BUNDLE_ROWS))
+    small = rest.where(F.col("n") <= most).withColumn("bundle", F.pmod(F.xxhash64("root"), F.lit(bundles)))
+    kind = sized.schema["id"].dataType.simpleString()
+    out = two.unionByName(small.groupBy("bundle").applyInArrow(run, f"id {kind}, cluster {kind}"))
+    if not sizes.where(F.col("n") > most).limit(1).count():
+        return out
+    large = rest.where(F.col("n") > most)
+    within = large.select(F.col("id").alias("id_a"))
+    return out.unionByName(_linkage_rounds(large.drop("root", "n"), pairs.join(within, "id_a"), threshold, {n: S.weights_or_default(weights)[n] for n in names}))
 
 
 def agglomerative_images(fingerprints: DataFrame, threshold: float, weights: dict[str, float] | None = None, most: int = 5000) -> DataFrame:

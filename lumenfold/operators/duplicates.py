@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import blocks as B
 from lumenfold.functions import scalars as S
-from lumenfold.runtime import drop_path, hot_join, stage
+from lumenfold.runtime import drop_path, hot_join, shuffle_width, stage
 from lumenfold.schema import Policy
 
 _EPS = 1e-9
@@ -113,6 +113,8 @@ def cover(usable: frozenset[str], weights: dict[str, float], threshold: float) -
 
 #: Work of writing and shuffling one keyed row, in candidate pairs looked at; most keys of a row under one plan.
 ROW_COST, MAX_KEYS = 100, 128
+#: Bytes of a keyed row, as shuffled; they decide the number of partitions.
+KEYED_BYTES = 30
 #: A key held by more rows than this is split by further bits.
 CROWDED = 50_000
 
@@ -160,11 +162,14 @@ def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, flo
             for h, bits in (covers[both] or {}).items():
                 plans.setdefault((h, bits), []).append((a, b))
     # the rarer mask of a pair asks and the other answers, so that common masks do not meet in plans made for rare ones
-    asks, answers, most = [], [], []
+    asks, answers, most, keyed_rows = [], [], [], 0
     for no, ((h, bits), mask_pairs) in enumerate(_merged(plans).items()):
         ordered = {tuple(sorted(pair, key=lambda m: (sizes[m], m))) for pair in mask_pairs}
         sides = [sorted({pair[i] for pair in ordered}) for i in (0, 1)]
-        tagged = B.keys(F.col(h), *band_plan(bits, *(sum(sizes[m] for m in side) for side in sides)), F.lit(no))
+        counts = [sum(sizes[m] for m in side) for side in sides]
+        plan = band_plan(bits, *counts)
+        keyed_rows += comb(*plan) * sum(counts)
+        tagged = B.keys(F.col(h), *plan, F.lit(no))
         most.append(bits)
         for side, out in zip(sides, (asks, answers)):
             keyed = reps.where((F.col(h) != 0) & F.col("mask").isin(side))
@@ -185,7 +190,9 @@ def near_pairs(fingerprints: DataFrame, threshold: float, weights: dict[str, flo
     found = found.select(F.least("a.c", "b.c").alias("ca"), F.greatest("a.c", "b.c").alias("cb")).distinct()
     ends = [reps.select(F.col("c").alias(f"c{x}"), *[F.col(n).alias(f"{x}_{n}") for n in ("id", *names)]) for x in "ab"]
     sim = S.fingerprint_similarity(lambda n: F.col(f"a_{n}"), lambda n: F.col(f"b_{n}"), w)
-    out = hot_join(hot_join(stage(found, "candidates")[0], ends[0], "ca"), ends[1], "cb")
+    with shuffle_width(spark, keyed_rows * KEYED_BYTES):
+        pairs, _ = stage(found, "candidates")
+    out = hot_join(hot_join(pairs, ends[0], "ca"), ends[1], "cb")
     return out.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 

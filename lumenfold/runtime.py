@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +86,17 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def shuffle_width(spark: SparkSession, nbytes: int, each: int = 16_000_000) -> Iterator[None]:
+    """Within: shuffles of as many partitions as ``nbytes`` need at ``each`` bytes, or as the session asks for if that is more."""
+    before = width(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", max(before, -(-nbytes // each)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 #: At most this many keys are treated as hot; a key with more than 1/HOT_KEYS of the rows is always among them.
 HOT_KEYS = 128
 
