@@ -8,7 +8,7 @@ the smallest similarity asked for.  Windows are found in the sorted arrays by bi
 collisions are counted by comparing ranks with the windows' ends, for many queries at once.
 
 Sorted arrays over the whole collection would give every window a fixed share of all rows, so the
-arrays are kept per cell (nearest pivots of the reduced vectors, overlapping), which bounds a window by the cell; crowded cells are
+arrays are kept per cell (nearest pivots, overlapping), which bounds a window by the cell; crowded cells are
 cut again.  Copies of one direction are collapsed before and expanded after the search: only each copy group's ``k + 2``
 smallest ids can be among anyone's ``k`` nearest, and these travel with the vector.
 """
@@ -29,7 +29,7 @@ PROJECTIONS, THRESHOLD = 16, 13
 #: Half a window, in standard deviations of a projected pair at the radius; shares of it that are tried one after the other.
 REACH_SD, REACHES = 2.0, (0.25, 0.5, 1.0)
 #: Cells a vector lies in, cells it asks in, and rows aimed at in a cell.
-OVERLAP, ASKS, CELL_ROWS = 3, 2, 300
+OVERLAP, ASKS, CELL_ROWS = 3, 3, 300
 #: Queries whose collisions are counted at once.
 BLOCK = 128
 
@@ -120,7 +120,7 @@ def similar_pairs(images: DataFrame, fields: dict[str, int], id_col: str = "id",
     an id written twice counts once; empty tables give an empty result.
     """
     names = list(fields)
-    cells = {no: fit_cells(images, id_col, f, fields[f], CELL_ROWS) for no, f in enumerate(names)}
+    cells = {no: fit_cells(images, id_col, f, fields[f], CELL_ROWS, fields[f]) for no, f in enumerate(names)}
     cells = {no: c for no, c in cells.items() if c is not None}
     spark = images.sparkSession
     if not cells:
@@ -141,7 +141,7 @@ def similar_pairs(images: DataFrame, fields: dict[str, int], id_col: str = "id",
         copies = np.fromiter(map(len, ids), int, len(ids))
         asking = t.column("asks").to_numpy(zero_copy_only=False)
         got = [[], [], []]
-        for rows, own in parts(u, overlap, ASKS, CELL_ROWS):
+        for rows, own in parts(u, overlap, ASKS, CELL_ROWS, u.shape[1]):
             a, b, c = cell_pairs(u[rows], least, k, copies[rows], own & asking[rows])
             for x, v in zip(got, (rows[a], rows[b], np.round(c, 10))):
                 x.append(v)

@@ -1,7 +1,7 @@
 """Shared by problems 1 and 5: usable vectors, their packing, and cells of reduced vectors around pivots.
 
 Vectors travel as bytes in the narrowest of half, single and double precision that holds their
-values exactly.  For the search they are reduced to their leading directions, which a bounded sample gives; the reduced space is cut
+values exactly.  For the search they are turned, or reduced, to their leading directions, which a bounded sample gives; the space is cut
 into the cells of pivots, which are drawn from the data by hash order and so follow its density, and a vector goes to its
 nearest cells (overlapping margins).  What is similar is decided by the whole vectors.
 """
@@ -164,7 +164,7 @@ class Cells:
         return np.take_along_axis(found, order, 1)
 
 
-def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, cell_rows: int = CELL_ROWS, seed: int = 7) -> Cells | None:
+def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, cell_rows: int = CELL_ROWS, reduced: int = REDUCED, seed: int = 7) -> Cells | None:
     """Cells for about ``cell_rows`` usable vectors each; None where there is no usable vector.
 
     Directions and pivots come from a bounded sample, the usable vectors with the smallest id hashes (at most SAMPLE, or
@@ -184,7 +184,7 @@ def fit_cells(df: DataFrame, id_col: str, vec_col: str, dim: int, cell_rows: int
         if got.num_rows:
             break
     _, m = usable_matrix(got.column(0), dim)
-    return Cells(unit_rows(m), want, rows)
+    return Cells(unit_rows(m), want, rows, reduced)
 
 
 def partitions(cells: list[Cells], overlap: int, least: int) -> int:
@@ -192,7 +192,7 @@ def partitions(cells: list[Cells], overlap: int, least: int) -> int:
     return max(least, -(-sum(c.total * overlap * (4 * c.dim + 40) for c in cells) // PARTITION_BYTES))
 
 
-def parts(u: np.ndarray, overlap: int, asks: int, cell_rows: int, crowded: int = CROWDED_ROWS) -> list[tuple[np.ndarray, np.ndarray]]:
+def parts(u: np.ndarray, overlap: int, asks: int, cell_rows: int, reduced: int = REDUCED, crowded: int = CROWDED_ROWS) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rows, whether each asks) of a cell's parts: the cell itself, or cells within it where it is crowded.
 
     A row lies in its ``overlap`` nearest parts and asks in the ``asks`` nearest.  Rows that no pivots part stay together.
@@ -200,7 +200,7 @@ def parts(u: np.ndarray, overlap: int, asks: int, cell_rows: int, crowded: int =
     n = len(u)
     if n <= crowded:
         return [(np.arange(n), np.ones(n, bool))]
-    inner = Cells(u[np.random.default_rng(n).permutation(n)[: max(SAMPLE, 2 * (n // cell_rows))]], n // cell_rows)
+    inner = Cells(u[np.random.default_rng(n).permutation(n)[: max(SAMPLE, 2 * (n // cell_rows))]], n // cell_rows, n, reduced)
     near = inner.nearest(u, overlap)
     out = []
     for c in range(len(inner)):
@@ -208,6 +208,6 @@ def parts(u: np.ndarray, overlap: int, asks: int, cell_rows: int, crowded: int =
         if len(at) == n:
             return [(np.arange(n), np.ones(n, bool))]
         if len(at):
-            for rows, own in parts(u[at], overlap, asks, cell_rows, crowded):
+            for rows, own in parts(u[at], overlap, asks, cell_rows, reduced, crowded):
                 out.append((at[rows], own & (rank[rows] < asks)))
     return out

@@ -137,7 +137,7 @@ def test_crowded_cells_are_cut_again():
     rng = np.random.default_rng(13)
     u = unit(rng, 30, 16)[rng.integers(0, 30, 3000)] + rng.standard_normal((3000, 16)) * 0.02
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    got = V.parts(u, 3, 2, 100, 500)
+    got = V.parts(u, 3, 2, 100, 16, 500)
     assert len(got) > 5 and max(len(r) for r, _ in got) < 3000
     asks = np.zeros(3000, int)
     for rows, own in got:
@@ -152,7 +152,7 @@ def test_crowded_cells_are_cut_again():
         met |= set(np.flatnonzero(inside[i] & inside[j]).tolist())
     assert len(met) > 0.99 * len(i)
     alike = np.repeat(u[:1], 700, 0)
-    assert len(V.parts(alike, 3, 2, 100, 500)) == 1
+    assert len(V.parts(alike, 3, 2, 100, 16, 500)) == 1
 
 
 def test_directions_are_collapsed():
