@@ -56,3 +56,22 @@ FP_SCHEMA = (
 def fp_row(id, sha=None, hashes=(0, 0, 0, 0), score=50.0, path=None, size=1000, w=100, h=100, exif=None, vec=None, hist=None, mtime=None, created=None):
     meta = (path or f"/a/{id}.jpg", size, "jpeg", w, h, mtime, exif, sha)
     return (id, meta, hashes, (0.5, 0.1, 0.5, 0.5, 0.1, 0.1, score), hist, vec, created)
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def same_as_sql(spark, run, sql: str, folder: str = SMALL) -> None:
+    """The rows of a query and of its SQL over the same files, in any order."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for f in Path(folder).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    want = con.sql(sql).to_arrow_table()
+    got = run(spark, folder).toArrow()
+    columns = sorted(want.column_names)
+    assert sorted(got.column_names) == columns
+    rows = lambda t: sorted(tuple(repr(r[c]) for c in columns) for r in t.to_pylist())
+    assert rows(got) == rows(want)
